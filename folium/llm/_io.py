@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.session import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary folder, set once."""
@@ -39,12 +41,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in shared storage and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = path or new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

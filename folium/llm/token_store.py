@@ -49,9 +49,9 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(15))
 
 
-def cut_points(ids: np.ndarray, candidates: np.ndarray, low: int, high: int) -> list[int]:
+def cut_points(n: int, candidates: np.ndarray, low: int, high: int) -> list[int]:
     """Ends of chunks: hashed candidates at least ``low`` ids apart, and never more than ``high``."""
-    ends, last, n = [], 0, len(ids)
+    ends, last = [], 0
     for c in candidates.tolist():
         while c - last > high:
             last += high
@@ -76,16 +76,20 @@ def _chunker(model, end_id: int, wide: bool, mean: int):
             for a, z in slices(texts):
                 flat, counts = enc.encode(texts[a:z])
                 out: dict[str, list] = {n: [] for n in _ARROW.names}
+                ends_at = np.cumsum(counts + 1)
+                ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32)
+                # a chunk is longer than the hash reaches back, so edges don't depend on the text before
+                candidates = np.flatnonzero((rolling_hash(ids) & mask) == 0) + 1
+                data_all = ids.astype(kind).tobytes()
+                width = len(data_all) // len(ids)
                 at = 0
-                for key, n in zip(keys[a:z], counts.tolist(), strict=True):
-                    ids = np.empty(n + 1, np.uint32)
-                    ids[:n], ids[n] = flat[at : at + n], end_id
-                    at += n
-                    # a place closer to the start than the hash's reach mixes in nothing from other documents
-                    candidates = np.flatnonzero((rolling_hash(ids) & mask) == 0) + 1
-                    ends = cut_points(ids, candidates, mean // 4, mean * 4)
-                    data = ids.astype(kind).tobytes()
-                    width, leaves, after, last = len(data) // (n + 1), [], [], 0
+                firsts = np.searchsorted(candidates, np.concatenate([[0], ends_at]), side="right")
+                for j, (key, n) in enumerate(zip(keys[a:z], counts.tolist(), strict=True)):
+                    data = data_all[at * width : (at + n + 1) * width]
+                    candidates_here = candidates[firsts[j] : firsts[j + 1]] - at
+                    at += n + 1
+                    ends = cut_points(n + 1, candidates_here, mean // 4, mean * 4)
+                    leaves, after, last = [], [], 0
                     for e in ends:
                         piece = data[last * width : e * width]
                         leaves.append(d := digest_of(piece))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -20,6 +20,16 @@ _MARK = "\x01"
 _FIRST = "\x02"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """``encode(texts)`` gives all ids as one uint32 array and the count of ids of each text.
 
@@ -27,7 +37,7 @@ class WordEncoder:
     :param max_words: size of the word cache, emptied when full, which bounds a worker's memory
     """
 
-    def __init__(self, tokenizer_json: str, max_words: int = 600_000):
+    def __init__(self, tokenizer_json: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -60,11 +70,36 @@ class WordEncoder:
         self.known: dict[str, int] = {}  # word -> row of `halves`
         self.parts: dict[str, int] = {"": 0}  # part -> row of `start` and `count`
         self.halves = np.zeros((1 << 14, 2), np.int32)
+        self.hits = np.zeros(1 << 14, np.int64)
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
 
+    def _forget(self) -> None:
+        """Drops words met once; most new words are, and are not met again."""
+        kept = [w for w, i in self.known.items() if self.hits[i] > 1]
+        if len(kept) > self.max_words // 2:
+            kept = []
+        rows = self.halves[np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))]
+        used = np.zeros(len(self.parts), bool)
+        used[rows] = True
+        names = [w for w, i in self.parts.items() if i and used[i]]
+        old = np.fromiter(map(self.parts.__getitem__, names), np.int64, len(names))
+        start, count = self.start[old], self.count[old]
+        ends = np.cumsum(count)
+        flat = self.flat[np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        place = np.zeros(len(used), np.int32)
+        place[old] = np.arange(1, len(old) + 1)
+        self._reset()
+        self._store(names, flat, count)
+        while len(kept) > len(self.halves):
+            self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
+        self.halves[: len(kept)] = place[rows]
+        self.hits[: len(kept)] = 1
+        self.known.update(zip(kept, range(len(kept)), strict=True))
+
     def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n, m = len(self.parts), len(words)
         while self.used + len(ids) > len(self.flat):
@@ -110,10 +145,22 @@ class WordEncoder:
         return word[1:] if word[0] == _FIRST else " " + word
 
     def _encode_parts(self, words: list[str]) -> None:
+        # letters alone are one word to the library, so its model can be asked at once
+        if self.mode == "space":
+            letters = [w for w in words if w.isalpha()]
+        else:
+            letters = [w for w in words if w.isalpha() and (w.islower() if w.isascii() else w == w.lower() and max(w) < "\u0100")]
+        if letters:
+            mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in letters]
+            if self.mode == "space":
+                mapped = ["\u0120" + w for w in mapped]
+            found = list(map(self.tokenizer.model.tokenize, mapped))
+            self._store(letters, np.array([t.id for f in found for t in f], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
         joinable, alone = [], []
-        for w in words:
-            plain = self._spelled(w)
-            (alone if _MARK in plain or not plain or plain[0] == "'" else joinable).append(w)
+        if len(letters) < len(words):
+            for w in set(words).difference(letters):
+                plain = self._spelled(w)
+                (alone if _MARK in plain or not plain or plain[0] == "'" else joinable).append(w)
         if joinable:
             glue = f" {_MARK} " if self.mode == "word" else _MARK
             ids = np.asarray(self._plain([glue.join(map(self._spelled, joinable))])[0], np.uint32)
@@ -150,6 +197,7 @@ class WordEncoder:
         n, m = len(self.known), len(words)
         while n + m > len(self.halves):
             self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         look = self.parts.__getitem__
         self.halves[n : n + m, 0] = np.fromiter(map(look, cores), np.int32, m)
         self.halves[n : n + m, 1] = np.fromiter(map(look, tails), np.int32, m)
@@ -161,16 +209,20 @@ class WordEncoder:
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             return np.fromiter((i for r in rows for i in r), np.uint32, int(counts.sum())), counts
         if len(self.known) > self.max_words or len(self.parts) > self.max_words:
-            self._reset()
+            self._forget()
         units = [self._units(t) for t in texts]
         odd = [i for i, u in enumerate(units) if u is None]
         whole = dict(zip(odd, self._plain([texts[i] for i in odd]), strict=True)) if odd else {}
         words = list(chain.from_iterable(u for u in units if u))
         known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            self._learn(fresh)
-        code = self.halves[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].ravel()
+        row = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(row < 0).tolist()
+        if missed:
+            fresh = [words[i] for i in missed]
+            self._learn(list(dict.fromkeys(fresh)))
+            row[missed] = np.fromiter(map(known.__getitem__, fresh), np.int64, len(fresh))
+        self.hits[: len(known)] += np.bincount(row, minlength=len(known))
+        code = self.halves[row].ravel()
         sizes = np.fromiter((2 * len(u) if u else 0 for u in units), np.int64, len(units))
         count = self.count[code]
         ends = np.cumsum(count)
