@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm._io import materialize, slices, text_column
-from folium.llm.tokens import encoder
+from folium.llm.tokens import SLICE, encoder
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -80,7 +80,7 @@ def _cutter(model, end_id: int, capacity: int):
         enc = encoder(model.value)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts):
+            for a, z in slices(texts, SLICE):
                 flat, counts = enc.encode(texts[a:z])
                 rows, at = [], 0
                 for key, n in zip(keys[a:z], counts.tolist(), strict=True):

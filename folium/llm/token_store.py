@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm._io import drop_folder, materialize, new_folder, slices, text_column
-from folium.llm.tokens import encoder
+from folium.llm.tokens import SLICE, encoder
 
 _RAW = "doc_id long, n_tokens long, leaves array<binary>, after array<long>, root binary, digest binary, payload binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("leaves", pa.list_(pa.binary())), ("after", pa.list_(pa.int64())), ("root", pa.binary()), ("digest", pa.binary()), ("payload", pa.binary())])
@@ -73,7 +73,7 @@ def _chunker(model, end_id: int, wide: bool, mean: int):
         kind = "<u4" if wide else "<u2"
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts):
+            for a, z in slices(texts, SLICE):
                 flat, counts = enc.encode(texts[a:z])
                 out: dict[str, list] = {n: [] for n in _ARROW.names}
                 ends_at = np.cumsum(counts + 1)

@@ -1,50 +1,48 @@
 """Whole-text encoding with the tokenizers library, each distinct word encoded once per worker.
 
 The two public BPE layouts split a text into words before any merge is applied, so the ids of a text are the
-ids of its words in order. ``WordEncoder`` cuts a text where such a split is certain, looks known words up and
-sends unknown ones through the library in one call. Texts with unusual white space go through whole.
+ids of its words in order. ``WordEncoder`` cuts texts where such a split is certain, reduces the words of a slice to
+distinct ones (Arrow does both), parts each from a mark behind its last letter, looks known parts up and sends unknown
+ones through the library in one call. Texts with unusual white space go through whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain, repeat
+import string
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+SLICE = 1 << 21  # characters encoded at a time; a longer text is a slice of its own
 _RARE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_CONTROL = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_TAIL = ".,!?;:*#%&$|"
+_CONTROL = "\0\x02\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_TAIL = ".,!?;:"
 _MARK = "\x01"
 _FIRST = "\x02"
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-_BYTE_LETTERS = _byte_letters()
+_IS_TAIL = np.isin(np.arange(256), list(_TAIL.encode()))
+_IS_LETTER = np.isin(np.arange(256), list(string.ascii_letters.encode()))
 
 
 class WordEncoder:
     """``encode(texts)`` gives all ids as one uint32 array and the count of ids of each text.
 
     :param tokenizer_json: contents of a tokenizer file
-    :param max_words: size of the word cache, emptied when full, which bounds a worker's memory
+    :param max_words: size of the cache of parts, thinned when full, which bounds a worker's memory (about 150 bytes each)
     """
 
-    def __init__(self, tokenizer_json: str, max_words: int = 250_000):
+    def __init__(self, tokenizer_json: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.max_words = max_words
         self.mode = self._layout(json.loads(tokenizer_json))
-        self._reset()
+        if self.mode != "plain":
+            self._reset()
 
     def _layout(self, spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -64,103 +62,104 @@ class WordEncoder:
             if len(ids) != 1 or sum(letter in t for t in names) > 2:
                 return "plain"
             self.mark = ids[0]
+            # ids that begin a word with a space before it, or end a word
+            self.edge = np.zeros(max(names.values()) + 1, bool)
+            self.edge[[i for t, i in names.items() if (t[0] == "\u0120" if mode == "space" else t.endswith("</w>"))]] = True
         return mode
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}  # word -> row of `halves`
-        self.parts: dict[str, int] = {"": 0}  # part -> row of `start` and `count`
-        self.halves = np.zeros((1 << 14, 2), np.int32)
-        self.hits = np.zeros(1 << 14, np.int64)
+        self.parts: dict[str, int] = {"": 0}  # part -> row of `start`, `count` and `hits`
+        self.start, self.count, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        first = _FIRST if self.mode == "space" else ""
+        self._learn([first + c for c in _TAIL])
+        self.tail_row = np.zeros(256, np.int64)
+        for c in _TAIL:
+            self.tail_row[ord(c)] = self.parts[first + c]
 
     def _forget(self) -> None:
-        """Drops words met once; most new words are, and are not met again."""
-        kept = [w for w, i in self.known.items() if self.hits[i] > 1]
+        """Drops parts met once; most new ones are, and are not met again."""
+        marks = set(self.tail_row.tolist())
+        kept = [w for w, i in self.parts.items() if self.hits[i] > 1 and i and i not in marks]
         if len(kept) > self.max_words // 2:
             kept = []
-        rows = self.halves[np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))]
-        used = np.zeros(len(self.parts), bool)
-        used[rows] = True
-        names = [w for w, i in self.parts.items() if i and used[i]]
-        old = np.fromiter(map(self.parts.__getitem__, names), np.int64, len(names))
-        start, count = self.start[old], self.count[old]
-        ends = np.cumsum(count)
-        flat = self.flat[np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        place = np.zeros(len(used), np.int32)
-        place[old] = np.arange(1, len(old) + 1)
+        old = np.fromiter(map(self.parts.__getitem__, kept), np.int64, len(kept))
+        count, flat = self.count[old], self._gathered(old)
         self._reset()
-        self._store(names, flat, count)
-        while len(kept) > len(self.halves):
-            self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)])
-            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
-        self.halves[: len(kept)] = place[rows]
-        self.hits[: len(kept)] = 1
-        self.known.update(zip(kept, range(len(kept)), strict=True))
+        self._store(kept, flat, count)
+        self.hits[len(self.parts) - len(kept) : len(self.parts)] = 1
 
     def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n, m = len(self.parts), len(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + m > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+            self.start, self.count, self.hits = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count, self.hits))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n : n + m] = self.used + np.cumsum(counts) - counts
         self.count[n : n + m] = counts
         self.used += len(ids)
         self.parts.update(zip(words, range(n, n + m), strict=True))
 
+    def _gathered(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of parts, one after the other."""
+        count = self.count[rows]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(self.start[rows] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, text: str) -> list[str] | None:
-        """Words of a text, or None where the places of word boundaries aren't certain."""
+    def _prepared(self, text: str) -> str | None:
+        """A text as it is cut at spaces, or None where the places of word boundaries aren't certain."""
         if not text.isascii() and _RARE_SPACE.search(text):
             return None
         if self.mode == "word":
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            if any(c in text for c in "\x1c\x1d\x1e\x1f\0"):
                 return None
             try:
                 text.encode("latin-1")
-                return text.lower().split()
+                return text.lower()
             except UnicodeEncodeError:
-                return text.split()
+                return text
         if not text:
-            return []
+            return ""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return None
         if any(c in text for c in _CONTROL):
             return None
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = _FIRST + units[0]
-        return units
+        return _FIRST + text.replace("\n", " \n")
 
     def _spelled(self, word: str) -> str:
-        """A cache key as the text that stands for it."""
+        """A part as the text that stands for it."""
         if self.mode == "word" or word[0] == "\n":
             return word
         return word[1:] if word[0] == _FIRST else " " + word
 
-    def _encode_parts(self, words: list[str]) -> None:
-        # letters alone are one word to the library, so its model can be asked at once
+    def _learn(self, words: list[str]) -> None:
+        """Encodes distinct new parts."""
+        # letters alone are one word to the library, so the ids themselves tell where words begin or end
         if self.mode == "space":
             letters = [w for w in words if w.isalpha()]
         else:
             letters = [w for w in words if w.isalpha() and (w.islower() if w.isascii() else w == w.lower() and max(w) < "\u0100")]
         if letters:
-            mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in letters]
-            if self.mode == "space":
-                mapped = ["\u0120" + w for w in mapped]
-            found = list(map(self.tokenizer.model.tokenize, mapped))
-            self._store(letters, np.array([t.id for f in found for t in f], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            text = " ".join(letters)
+            ids = np.asarray(self._plain([" " + text if self.mode == "space" else text])[0], np.int64)
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) == len(letters):
+                counts = np.diff(np.append(edge, len(ids))) if self.mode == "space" else np.diff(np.concatenate([[-1], edge]))
+                self._store(letters, ids, counts)
+            else:
+                letters = []
+        known = self.parts
         joinable, alone = [], []
-        if len(letters) < len(words):
-            for w in set(words).difference(letters):
-                plain = self._spelled(w)
-                (alone if _MARK in plain or not plain or plain[0] == "'" else joinable).append(w)
+        for w in words if len(letters) < len(words) else []:
+            if w in known:
+                continue
+            plain = self._spelled(w)
+            (alone if w[0] == _FIRST or _MARK in plain or plain[0] == "'" else joinable).append(w)
         if joinable:
             glue = f" {_MARK} " if self.mode == "word" else _MARK
             ids = np.asarray(self._plain([glue.join(map(self._spelled, joinable))])[0], np.uint32)
@@ -174,66 +173,58 @@ class WordEncoder:
             rows = self._plain([self._spelled(w) for w in alone])
             self._store(alone, np.array([i for r in rows for i in r], np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)))
 
-    def _learn(self, words: list[str]) -> None:
-        cores, tails = [], []
-        first = _FIRST if self.mode == "space" else ""
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if len(core) < len(w) and core and core[-1].isalpha():
-                tails.append(first + w[len(core) :])
-            else:
-                core = w
-                tails.append("")
-            cores.append(core)
-        need = [w for w in set(cores).union(tails) if w not in self.parts]
-        if need:
-            glued = [w for w in need if self.mode == "word" or w[0] != _FIRST]
-            if glued:
-                self._encode_parts(glued)
-            if len(glued) < len(need):
-                rest = [w for w in need if w[0] == _FIRST]
-                rows = self._plain([self._spelled(w) for w in rest])
-                self._store(rest, np.array([i for r in rows for i in r], np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)))
-        n, m = len(self.known), len(words)
-        while n + m > len(self.halves):
-            self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)])
-            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
-        look = self.parts.__getitem__
-        self.halves[n : n + m, 0] = np.fromiter(map(look, cores), np.int32, m)
-        self.halves[n : n + m, 1] = np.fromiter(map(look, tails), np.int32, m)
-        self.known.update(zip(words, range(n, n + m), strict=True))
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.mode == "plain":
             rows = self._plain(texts)
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             return np.fromiter((i for r in rows for i in r), np.uint32, int(counts.sum())), counts
-        if len(self.known) > self.max_words or len(self.parts) > self.max_words:
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(self.parts) > self.max_words:
             self._forget()
-        units = [self._units(t) for t in texts]
-        odd = [i for i, u in enumerate(units) if u is None]
+        ready = [self._prepared(t) for t in texts]
+        odd = [i for i, u in enumerate(ready) if u is None]
         whole = dict(zip(odd, self._plain([texts[i] for i in odd]), strict=True)) if odd else {}
-        words = list(chain.from_iterable(u for u in units if u))
-        known = self.known
-        row = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        missed = np.flatnonzero(row < 0).tolist()
-        if missed:
-            fresh = [words[i] for i in missed]
-            self._learn(list(dict.fromkeys(fresh)))
-            row[missed] = np.fromiter(map(known.__getitem__, fresh), np.int64, len(fresh))
-        self.hits[: len(known)] += np.bincount(row, minlength=len(known))
-        code = self.halves[row].ravel()
-        sizes = np.fromiter((2 * len(u) if u else 0 for u in units), np.int64, len(units))
-        count = self.count[code]
-        ends = np.cumsum(count)
-        flat = self.flat[np.repeat(self.start[code] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        column = pa.array([u or "" for u in ready], pa.string())
+        split = pc.ascii_split_whitespace(column) if self.mode == "word" else pc.split_pattern(column, " ")
+        coded = split.values.dictionary_encode()
+        place = coded.indices.to_numpy()
+        core, tail = self._halves(coded.dictionary)
+        rows = np.empty(2 * len(place), np.int64)
+        rows[0::2], rows[1::2] = core[place], tail[place]
+        self.hits[: len(self.parts)] += np.bincount(rows, minlength=len(self.parts))
+        flat = self._gathered(rows)
+        at = np.concatenate([[0], np.cumsum(self.count[rows])])[2 * split.offsets.to_numpy().astype(np.int64)]
         counts = np.diff(at)
         if whole:
             pieces = [np.asarray(whole[i], np.uint32) if i in whole else flat[at[i] : at[i + 1]] for i in range(len(texts))]
             return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         return flat, counts
 
+    def _halves(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of each distinct word without a mark behind its last letter, and of that mark (0: none)."""
+        n, buffers = len(words), words.buffers()
+        offsets = np.frombuffer(buffers[1], np.int32, n + 1, words.offset * 4).astype(np.int64)
+        data = np.frombuffer(buffers[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        length, ends = np.diff(offsets), offsets[1:]
+        long = length > 1
+        last, before = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        last[long], before[long] = data[ends[long] - 1], data[ends[long] - 2]
+        cut = _IS_TAIL[last] & _IS_LETTER[before]
+        kept = np.ones(len(data), bool)
+        kept[ends[cut] - 1] = False
+        shifted = (offsets - np.concatenate([[0], np.cumsum(cut)])).astype(np.int32)
+        cores = pa.StringArray.from_buffers(n, pa.py_buffer(shifted.tobytes()), pa.py_buffer(data[kept].tobytes())).dictionary_encode()
+        names = cores.dictionary.to_pylist()
+        row = np.fromiter(map(self.parts.get, names, repeat(-1)), np.int64, len(names))
+        missed = np.flatnonzero(row < 0).tolist()
+        if missed:
+            fresh = [names[i] for i in missed]
+            self._learn(fresh)
+            row[missed] = np.fromiter(map(self.parts.__getitem__, fresh), np.int64, len(fresh))
+        return row[cores.indices.to_numpy()], np.where(cut, self.tail_row[last], 0)
+
 
 _ENCODERS: dict[int, WordEncoder] = {}
 
