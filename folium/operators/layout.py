@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PAGE = Window.partitionBy("page").orderBy("seq")
-_SO_FAR = _PAGE.rowsBetween(Window.unboundedPreceding, 0)
+
+def _page():
+    return Window.partitionBy("page").orderBy("seq")
+
+
+def _so_far():
+    return _page().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def clusters(elements: DataFrame) -> DataFrame:
     """Elements with ``cluster``: a new one begins where an element doesn't start exactly where the one before ended."""
-    touching = (F.col("x") == F.lag(F.col("x") + F.col("dx")).over(_PAGE)) & (F.col("y") == F.lag(F.col("y") + F.col("dy")).over(_PAGE))
-    return elements.withColumn("cluster", F.sum(F.when(F.coalesce(touching, F.lit(False)), 0).otherwise(1)).over(_SO_FAR))
+    touching = (F.col("x") == F.lag(F.col("x") + F.col("dx")).over(_page())) & (F.col("y") == F.lag(F.col("y") + F.col("dy")).over(_page()))
+    return elements.withColumn("cluster", F.sum(F.when(F.coalesce(touching, F.lit(False)), 0).otherwise(1)).over(_so_far()))
 
 
 def cluster_totals(clustered: DataFrame) -> DataFrame:
