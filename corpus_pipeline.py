@@ -17,9 +17,18 @@ from folium.llm.tokens import tokenizer_file
 KEEP_SCORE = 0.7
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents in shared storage, each row with a number of its own that stays the same however often it is read."""
-    return materialize(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    row = _free(docs, "row_number")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,27 +39,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    rows = _numbered(docs)
-    kept = exact.deduplicate(rows).where("kept").select("rid")
-    return rows.join(kept, "rid", "left_semi").select(*docs.columns)
+    rows, row = _numbered(docs)
+    kept = exact.deduplicate(rows, row=row).where("kept").select(F.col("rid").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    rows = _numbered(docs)
-    found = simhash.near_duplicates(rows)
+    rows, row = _numbered(docs)
+    found = simhash.near_duplicates(rows, row=row)
     single = found.where("component_size = 1").select("rid")
     # the first of a group by id and row: partial minima, no group in one task
     first = found.where("component_size > 1").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))["rid"].alias("rid"))
-    return rows.join(single.unionByName(first.select("rid")), "rid", "left_semi").select(*docs.columns)
+    return rows.join(single.unionByName(first.select("rid")).withColumnRenamed("rid", row), row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows = _numbered(docs)
-    sized = rows.select("doc_id", "source", mixing.word_count(text_column()).alias("size"), "rid")
-    taken = mixing.copies(sized).where("copies > 0").select("rid", "copies")
-    return rows.join(taken, "rid").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    rows, row = _numbered(docs)
+    times = _free(docs, "times")
+    sized = rows.select("doc_id", "source", mixing.word_count(text_column()).alias("size"), F.col(row).alias("rid"))
+    taken = mixing.copies(sized).where("copies > 0").select(F.col("rid").alias(row), F.expr("sequence(1, copies)").alias(times))
+    return rows.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

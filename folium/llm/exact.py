@@ -52,15 +52,14 @@ class DigestIndex:
         batch.select("digest", "doc_id").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Per row of ``docs(doc_id, text)`` and any ``rid``: ``doc_id, digest, keep_id, group_size, kept[, rid]``.
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, row: str | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: ``doc_id, digest, keep_id, group_size, kept``, and ``rid`` if ``row`` names a column of row numbers.
 
     With an ``index``, a text it holds already is kept by no row of the batch and ``keep_id`` is the index's; new
     digests are appended to it.
     """
     spark = docs.sparkSession
-    own = ["rid"] if "rid" in docs.columns else []
-    rid = F.col("rid") if own else F.monotonically_increasing_id()
+    rid = F.col(row) if row else F.monotonically_increasing_id()
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(text_column()).alias("digest"), rid.alias("rid")), "digests")
     index = index or DigestIndex(spark)
     # the row that stays: largest doc_id, of repeated rows the last
@@ -71,7 +70,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     known = materialize(known, "known")
     index.add(fresh)
     out = rows.join(known, "digest").select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), "rid")
-    return out if own else out.drop("rid")
+    return out if row else out.drop("rid")
 
 
 ORACLE = """

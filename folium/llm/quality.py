@@ -189,10 +189,8 @@ def _scorer(model: AttentionModel):
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """``doc_id[, rid], score`` for every row of ``docs(doc_id, text[, rid])``."""
-    own = ["rid"] if "rid" in docs.columns else []
-    kinds = "doc_id long, " + "rid long, " * bool(own) + "score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, text_column()).mapInArrow(_scorer(model), kinds)
+    """``doc_id, score`` for every row of ``docs(doc_id, text)``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(_scorer(model), "doc_id long, score double")
 
 
 def _keeper(model: AttentionModel, least: float):

@@ -202,14 +202,15 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs(doc_id, text)`` and any ``rid``: ``doc_id, fp, component_id, component_size[, rid]``.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: ``doc_id, fp, component_id, component_size``, and ``rid`` if ``row`` names a column of row numbers.
 
     ``fp`` is the fingerprint as a signed long; ``component_id`` the smallest ``doc_id`` that links reach.
     """
-    own = ["rid"] if "rid" in docs.columns else []
+    own = ["rid"] if row else []
+    number = [F.col(row).alias("rid")] if row else []
     kinds = "doc_id long, " + "rid long, " * bool(own) + "fp long"
-    fps = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, text_column()).mapInArrow(_fingerprints(shingle), kinds), "fps")
+    fps = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *number, text_column()).mapInArrow(_fingerprints(shingle), kinds), "fps")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     posted = classes.select("fp").mapInArrow(_postings, "key long, fp long")
     links = posted.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
