@@ -462,10 +462,10 @@ def first_seen_ids(spark, sf_dir):
     return index.first_seen(d)
 
 
-_COS = "pr AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), hit AS (SELECT * FROM pr WHERE cos > 0.6)"
+_COS = "pr AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), hit AS (SELECT * FROM pr WHERE cos > 0.35)"
 
 
-def _pairs(spark, sf_dir, threshold: float = 0.6) -> DataFrame:
+def _pairs(spark, sf_dir, threshold: float = 0.35) -> DataFrame:
     return lsa.block_pairs(_t(spark, sf_dir, "embeddings"), threshold)
 
 
@@ -484,10 +484,10 @@ def similar_components(spark, sf_dir):
     return lsa.components(_pairs(spark, sf_dir))
 
 
-@query(f"WITH {_COS} SELECT round(cos, 6) AS cos, i, j, 'vector ' || i AS i_name, 'vector ' || j AS j_name FROM hit WHERE cos >= 0.7")
+@query(f"WITH {_COS} SELECT round(cos, 6) AS cos, i, j, 'vector ' || i AS i_name, 'vector ' || j AS j_name FROM hit WHERE cos >= 0.4")
 def similar_names(spark, sf_dir):
     names = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("name"))
-    return lsa.similar_names(_pairs(spark, sf_dir), names, 0.7).withColumn("cos", _r("cos"))
+    return lsa.similar_names(_pairs(spark, sf_dir), names, 0.4).withColumn("cos", _r("cos"))
 
 
 def _matrix(spark, sf_dir) -> DataFrame:

@@ -24,11 +24,13 @@ def sf_dir():
 
 
 def _shown(v):
-    if v is None or v != v or str(v) == "<NA>":
-        return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
-    return repr(round(v, 8)) if isinstance(v, float) else str(v)
+    if v is None or str(v) in ("<NA>", "nan", "NaT"):
+        return "null"
+    if isinstance(v, float):  # pandas turns whole numbers beside nulls into floats
+        return str(int(v)) if v.is_integer() else repr(round(v, 8))
+    return str(v)
 
 
 def rows_of(frame) -> list[tuple]:
