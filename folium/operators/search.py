@@ -23,8 +23,14 @@ MAX_HITS = 1_000_000
 
 
 def _phrase_count(t: Column, words: tuple[str, ...]) -> Column:
-    run = F.transform(t, lambda w, i: (w == words[0]) & reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w2, F.lit(False)) for k, w2 in enumerate(words[1:], 1)], F.lit(True)))
-    return F.size(F.filter(run, lambda hit: hit))
+    """Places where the words follow each other. The array is not named inside a lambda: a filter pushed below its
+    projection would then split the text again for every word."""
+    is_word = lambda word: lambda w: w == word
+    hits = F.transform(t, is_word(words[0]))
+    for k, word in enumerate(words[1:], 1):
+        later = F.transform(F.slice(t, k + 1, F.size(t)), is_word(word))
+        hits = F.zip_with(hits, later, lambda a, b: a & F.coalesce(b, F.lit(False)))
+    return F.size(F.filter(hits, lambda hit: hit))
 
 
 def leaf_count(t: Column, leaf: Leaf) -> Column:
