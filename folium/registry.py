@@ -515,7 +515,10 @@ def matrix_shape(spark, sf_dir):
 # --- ids, hashes, records ------------------------------------------------------------------------------------------
 
 
-@query()
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(text, ''), lambda x: unicode(x)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+@query(f"SELECT doc_id, lower(lpad(to_hex(CASE WHEN text = '' THEN 14695981039346656037::UBIGINT ELSE CAST({_FNV} AS UBIGINT) END), 16, '0')) AS hash FROM documents")
 def fnv_hash(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", fx.fnv(F.col("text")).alias("hash"))
 
