@@ -2,12 +2,17 @@
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
 named by element, role, class or id go. If the page has an article or main element, its blocks are the text. Otherwise
-its remaining blocks are undecided: the pages of a host are concatenated as token streams, a suffix array sorted to
-``DEPTH`` tokens finds the substrings that stand in at least ``MIN_PAGES`` distinct pages, tokens they cover are removed
-and the unique runs stay. A page that would lose nearly everything is a copy of others, not boilerplate, and stays whole.
+its remaining blocks are undecided: substrings of ``DEPTH`` tokens that stand in at least ``MIN_PAGES`` distinct pages
+of the host are repeats, tokens they cover are removed and the unique runs stay. A page that would lose nearly
+everything is a copy of others, not boilerplate, and stays whole.
+
+Pages are handled in chunks of about ``SHARD`` characters. A chunk's pages are concatenated as token streams, and a
+suffix array sorted to ``DEPTH`` tokens gives each distinct substring with the pages of the chunk that hold it. These
+counts are summed over all chunks by host and substring, both in a 96-bit hash, so that a chunk bounds memory and not
+the counting; substrings with enough pages go back to the chunks they came from.
 
 Suffix sorting alone can't tell an article printed on several pages from a menu, nor a one-off advert from text; that
-is why it decides only where markup doesn't. A host's undecided pages are dealt to shards of about ``SHARD`` characters.
+is why it decides only where markup doesn't.
 
 Defined results: null html reads as empty and gives an empty text; a null or odd url is a host of its own kind ("");
 repeated rows are pages of their own and count as distinct; an empty table gives no rows; other columns are ignored.
@@ -17,10 +22,11 @@ from __future__ import annotations
 
 import html as _html
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm._io import materialize, text_column
@@ -165,16 +171,14 @@ def blocks_of(page: str) -> tuple[bool, list[str]]:
     return False, [t for _, t in blocks]
 
 
-def covered(streams: list[np.ndarray], depth: int = DEPTH, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's token ids a mask of the tokens in substrings of ``depth`` or more that at least ``min_pages`` pages hold.
+def _classes(streams: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place of the streams, each followed by a mark of its own, the class of its next ``depth`` tokens; for every class its distinct pages.
 
     The suffix array of all streams is sorted by prefix doubling, as deep as ``depth`` tokens: suffixes that are then
     equal share a substring of that length, and a longer repeated one is a chain of such.
     """
     sizes = np.array([len(s) for s in streams], np.int64)
     total = int(sizes.sum() + len(streams))
-    if not sizes.any():
-        return [np.zeros(len(s), bool) for s in streams]
     ids, page = np.empty(total, np.int64), np.repeat(np.arange(len(streams)), sizes + 1)
     at = 0
     for i, s in enumerate(streams):
@@ -183,7 +187,6 @@ def covered(streams: list[np.ndarray], depth: int = DEPTH, min_pages: int = MIN_
         at += len(s) + 1
     rank = np.unique(ids, return_inverse=True)[1]
     reach = 1
-    order = np.argsort(rank, kind="stable")
     while reach < depth:
         step = min(reach, depth - reach)
         ahead = np.full(total, -1, np.int64)
@@ -195,62 +198,138 @@ def covered(streams: list[np.ndarray], depth: int = DEPTH, min_pages: int = MIN_
         rank[order] = new
         reach += step
     pairs = np.unique(rank * len(streams) + page)
-    pages = np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1)
-    common = (pages >= min_pages)[rank]
-    mark = np.zeros(total + 1, np.int64)
-    np.add.at(mark, np.flatnonzero(common), 1)
-    np.add.at(mark, np.minimum(np.flatnonzero(common) + depth, total), -1)
-    mask = np.cumsum(mark[:-1]) > 0
+    return rank, np.bincount(pairs // len(streams), minlength=int(rank.max()) + 1)
+
+
+def _covers(starts: np.ndarray, depth: int) -> np.ndarray:
+    """The places that substrings of ``depth`` tokens cover, from a mask of where they start."""
+    mark = np.zeros(len(starts) + 1, np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, np.minimum(at + depth, len(starts)), -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def covered(streams: list[np.ndarray], depth: int = DEPTH, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
+    """For each page's token ids a mask of the tokens in substrings of ``depth`` or more that at least ``min_pages`` pages hold."""
+    sizes = np.array([len(s) for s in streams], np.int64)
+    if not sizes.any():
+        return [np.zeros(len(s), bool) for s in streams]
+    rank, pages = _classes(streams, depth)
+    mask = _covers((pages >= min_pages)[rank], depth)
     ends = np.cumsum(sizes + 1)
     return [mask[e - n - 1 : e - 1] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def unique_runs(pages: list[list[str]], depth: int = DEPTH, min_pages: int = MIN_PAGES) -> list[list[str]]:
-    """Blocks of a host's pages without the tokens that repeated substrings cover; empty blocks go."""
-    known: dict[str, int] = {}
-    split = [[b.split(" ") for b in blocks] for blocks in pages]
-    streams = [np.array([known.setdefault(w, len(known)) for b in blocks for w in b], np.int64) for blocks in split]
-    out = []
-    for blocks, texts, mask in zip(split, pages, covered(streams, depth, min_pages), strict=True):
-        if len(mask) and mask.mean() > 0.9:
-            out.append(texts)
-            continue
-        at, kept = 0, []
-        for b in blocks:
-            own = mask[at : at + len(b)]
-            at += len(b)
-            if text := " ".join(w for w, gone in zip(b, own.tolist(), strict=True) if not gone):
-                kept.append(text)
-        out.append(kept)
-    return out
+def _streams(hosts: list[str], pages: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Token ids of each page, apart for each host, and for every id a 128-bit hash of host and word."""
+    from xxhash import xxh64_intdigest, xxh128_digest
+
+    known: dict[tuple[str, str], int] = {}
+    streams = [np.array([known.setdefault((host, w), len(known)) for b in blocks for w in b.split(" ")], np.int64) for host, blocks in zip(hosts, pages, strict=True)]
+    seed = {host: xxh64_intdigest(host.encode("utf-8", "surrogatepass")) for host in set(hosts)}
+    data = b"".join(xxh128_digest(w.encode("utf-8", "surrogatepass"), seed[host]) for host, w in known)
+    return streams, np.frombuffer(data, np.uint64).reshape(-1, 2)
+
+
+def _keys(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash in 64 and 32 bits of every ``depth`` token hashes in a row."""
+    n = len(tokens) - depth + 1
+    h = np.zeros((max(n, 0), 2), np.uint64)
+    for j in range(depth if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]
+    return h[:, 0].copy().view(np.int64), (h[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_COUNTED = pa.schema([("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("pages", pa.int64())])
+
+
+def _counted(batches):
+    """Distinct substrings of a chunk's pages, as hashes, each with the number of pages that hold it. A chunk may come in parts."""
+    for batch in batches:
+        for chunk, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
+            _, hosts, pages = zip(*rows, strict=True)
+            streams, tokens = _streams(hosts, pages)
+            if max(map(len, streams)) < DEPTH:
+                continue
+            rank, holders = _classes(streams, DEPTH)
+            sizes = np.array([len(s) for s in streams], np.int64)
+            left = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1) - np.arange(len(rank))
+            first = np.unique(rank, return_index=True)[1]
+            first = first[left[first] >= DEPTH]
+            flat = np.concatenate([np.append(s, 0) for s in streams])  # marks count as any word: no whole substring has one
+            a, b = _keys(tokens[flat], DEPTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), pa.array(a[first]), pa.array(b[first]), pa.array(holders[rank[first]])], schema=_COUNTED)
+
+
+def _among(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarray) -> np.ndarray:
+    """Which pairs of ``a`` and ``b`` are known; ``known_a`` rises."""
+    lo, hi = np.searchsorted(known_a, a), np.searchsorted(known_a, a, side="right")
+    hit = np.zeros(len(a), bool)
+    for k in range(int((hi - lo).max(initial=0))):
+        hit |= (lo + k < hi) & (known_b[np.minimum(lo + k, len(known_b) - 1)] == b)
+    return hit
+
+
+def _unique_runs(blocks: list[str], mask: np.ndarray) -> list[str]:
+    """A page's blocks without the tokens that repeated substrings cover; empty blocks go."""
+    if len(mask) and mask.mean() > 0.9:
+        return blocks
+    at, kept = 0, []
+    for block in blocks:
+        b = block.split(" ")
+        own = mask[at : at + len(b)]
+        at += len(b)
+        if text := " ".join(w for w, gone in zip(b, own.tolist(), strict=True) if not gone):
+            kept.append(text)
+    return kept
+
 
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("blocks", pa.list_(pa.string())), ("chunk", pa.int64())])
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("blocks", pa.list_(pa.string()))])
 
+def _extracted(shard: int):
+    def run(batches):
+        chunk, size = None, 0
+        for b in batches:
+            rows = []
+            for row, page_id, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                host = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "")
+                named, blocks = blocks_of(page)
+                if not named:
+                    n = 1 + sum(map(len, blocks))
+                    if chunk is None or size + n > shard:
+                        chunk, size = row, 0
+                    size += n
+                rows.append((page_id, url, host[1].lower() if host else "", "\n\n".join(blocks) if named else None, None if named else blocks, None if named else chunk))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGE.types, strict=True)], schema=_PAGE)
 
-def _extracted(batches):
-    for b in batches:
-        rows = []
-        for page_id, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            host = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "")
-            named, blocks = blocks_of(page)
-            rows.append((page_id, url, host[1].lower() if host else "", "\n\n".join(blocks) if named else None, None if named else blocks))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGE.types, strict=True)], schema=_PAGE)
+    return run
 
 
-def _cleaned(t: pa.Table) -> pa.Table:
-    texts = ["\n\n".join(x) for x in unique_runs(t.column("blocks").to_pylist())]
+def _cleaned(t: pa.Table, repeated: pa.Table) -> pa.Table:
+    pages = t.column("blocks").to_pylist()
+    streams, tokens = _streams(t.column("host").to_pylist(), pages)
+    known_a, known_b = repeated.column("a").to_numpy(), repeated.column("b").to_numpy()
+    order = np.argsort(known_a)
+    known_a, known_b = known_a[order], known_b[order]
+    texts = []
+    for blocks, s in zip(pages, streams, strict=True):
+        starts = np.zeros(len(s), bool)
+        if len(s) >= DEPTH and len(known_a):
+            starts[: len(s) - DEPTH + 1] = _among(*_keys(tokens[s], DEPTH), known_a, known_b)
+        texts.append("\n\n".join(_unique_runs(blocks, _covers(starts, DEPTH))))
     return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_column("html").alias("html"))
-    parsed = materialize(rows.mapInArrow(_extracted, "page_id long, url string, host string, text string, blocks array<string>"), "parsed")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), text_column("html").alias("html"))
+    parsed = materialize(rows.mapInArrow(_extracted(SHARD), "page_id long, url string, host string, text string, blocks array<string>, chunk long"), "parsed")
     done = parsed.where("text is not null").select("page_id", "url", "text")
-    open_ = parsed.where("text is null").select("page_id", "url", "host", "blocks", F.expr("aggregate(blocks, 1L, (n, x) -> n + length(x))").alias("size"))
-    shards = open_.groupBy("host").agg(F.ceil(F.sum("size") / SHARD).alias("shards"))
-    dealt = open_.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    cleaned = dealt.select("page_id", "url", "blocks", "host", "shard").groupBy("host", "shard").applyInArrow(_cleaned, "page_id long, url string, text string")
+    open_ = parsed.where("text is null").select("chunk", "host", "blocks", "page_id", "url")
+    counted = open_.select("chunk", "host", "blocks").mapInArrow(_counted, "chunk long, a long, b int, pages long")
+    repeated = counted.withColumn("n", F.sum("pages").over(Window.partitionBy("a", "b"))).where(F.col("n") >= MIN_PAGES).select("chunk", "a", "b")
+    cleaned = open_.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_cleaned, "page_id long, url string, text string")
     return done.unionByName(cleaned).withColumn("n_chars", F.length("text").cast("long"))

@@ -57,6 +57,17 @@ def test_boilerplate_without_markup(spark):
     assert got[9] == f"{own[0]}\n\n{footer}"
 
 
+def test_repeats_count_over_all_pages_of_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(html, "SHARD", 1000)
+    rng = random.Random(7)
+    own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(50)) for _ in range(120)]
+    three, two = "printed on three pages of this host only", "two pages are too few for a repeat here"
+    more = {5: three, 60: three, 118: three, 7: two, 90: two}
+    rows = [(i, f"http://Big.example/{i}", f"<p>{t}</p><p>{more.get(i, '')}</p>") for i, t in enumerate(own)] + [(500, "http://small.example/", f"<p>{own[1]}</p><p>{three}</p>")]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"{t}\n\n{two}" if more.get(i) == two else t for i, t in enumerate(own)} | {500: f"{own[1]}\n\n{three}"}
+
+
 def test_pages_edges(spark):
     rows = [(1, None, None, "x"), (None, "odd", "<p>t", "x"), (2, "", "", "x"), (2, "", "", "x"), (3, "http://a/", "<article>" + "<p>long words</p>" * 20000 + "</article>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
