@@ -5,7 +5,7 @@ and a score over those counts. Units and lengths come from the same pass; docume
 
 Score of a unit: the sum over matching leaves of ``sqrt(tf) * idf^2 / sqrt(length)`` with ``idf = 1 + ln(N / (df + 1))``,
 ``N`` the units searched in and ``length`` the unit's words; a wildcard adds 1. ``coord`` multiplies by the share of
-leaves that match. Ties go by ``doc_id``.
+leaves that match. Ties go by ``doc_id``. All hits are returned unless a caller asks for the first ``limit`` of them.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from folium.functions.text import terms
 from folium.operators.annotate import sentences
 from folium.plans.query import Group, Leaf, Query, parse
 
-MAX_HITS = 1_000_000
-
 
 def _phrase_count(t: Column, words: tuple[str, ...]) -> Column:
     """Places where the words follow each other. The array is not named inside a lambda: a filter pushed below its
@@ -109,11 +107,11 @@ def _only(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(allowed.distinct().withColumn("_ok", F.lit(True)), keys, "left").withColumn("_in", F.col("_in") & F.col("_ok").isNotNull()).drop("_ok")
 
 
-def search(q: Query, docs: DataFrame, lexicon: DataFrame | None = None, doc_ids: DataFrame | None = None, sentence_rows: DataFrame | None = None, limit: int = MAX_HITS, document_type: str = "main") -> DataFrame:
+def search(q: Query, docs: DataFrame, lexicon: DataFrame | None = None, doc_ids: DataFrame | None = None, sentence_rows: DataFrame | None = None, limit: int | None = None, document_type: str = "main") -> DataFrame:
     """Hits of a request over ``docs(doc_id, text, corpora, year, ...)``: ``identifier, score, year, document_type``.
 
     Sentence requests group their sentences by document: the score is their sum, ``matching_sentences`` lists them by
-    falling score. ``doc_ids(doc_id)`` restricts the search; ``sentence_rows`` may bring sentences made before.
+    falling score. ``doc_ids(doc_id)`` restricts the search; ``sentence_rows`` may bring sentences made before; ``limit`` keeps the first hits only.
     """
     q.check()
     docs = docs if "year" in docs.columns else docs.withColumn("year", F.lit(None).cast("string"))
@@ -147,16 +145,17 @@ def search(q: Query, docs: DataFrame, lexicon: DataFrame | None = None, doc_ids:
         hits = hits.groupBy("doc_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(one), order).alias("matching_sentences"))
     hits = hits.join(docs.select("doc_id", "year"), "doc_id", "left")
     shown = hits.select(F.col("doc_id").alias("identifier"), "score", "year", F.lit(document_type).alias("document_type"), *(["matching_sentences"] if q.kind == "sentence" else []))
-    return in_order(shown, q.sort_by_year).limit(limit)
+    return in_order(shown, q.sort_by_year, limit)
 
 
-def in_order(hits: DataFrame, by_year: bool = False) -> DataFrame:
-    return hits.orderBy(*([F.desc_nulls_last("year")] if by_year else []), F.desc("score"), "identifier")
+def in_order(hits: DataFrame, by_year: bool = False, limit: int | None = None) -> DataFrame:
+    ordered = hits.orderBy(*([F.desc_nulls_last("year")] if by_year else []), F.desc("score"), "identifier")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def federated(q: Query, main: DataFrame, external: DataFrame, **kwargs) -> DataFrame:
-    """Hits of two collections in one order, each marked with where it is from."""
-    return in_order(search(q, main, **kwargs).unionByName(search(q, external, document_type="external", **kwargs)), q.sort_by_year)
+def federated(q: Query, main: DataFrame, external: DataFrame, limit: int | None = None, **kwargs) -> DataFrame:
+    """Hits of two collections in one order, each marked with where it is from; ``limit`` holds for both together."""
+    return in_order(search(q, main, limit=limit, **kwargs).unionByName(search(q, external, limit=limit, document_type="external", **kwargs)), q.sort_by_year, limit)
 
 
 def summary(hits: DataFrame) -> DataFrame:

@@ -141,6 +141,16 @@ def test_sentence_hits_and_summary(papers):
     assert (none["n_hits"], none["max_score"]) == (0, None)
 
 
+def test_a_search_returns_all_hits_unless_asked_for_the_first(spark, papers):
+    n = 1_000_003
+    many = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("the").alias("text"), F.array(F.lit("en")).alias("corpora"))
+    assert search.summary(search.search(Query(keyword="the", corpora=["en"]), many)).first()["n_hits"] == n
+    q = Query(keyword="dna binding", corpora=["C. elegans"])
+    every = [r["identifier"] for r in search.search(q, papers).collect()]
+    assert len(every) == 2 and [r["identifier"] for r in search.search(q, papers, limit=1).collect()] == every[:1]
+    assert search.federated(q, papers, papers, limit=1).count() == 1 and search.federated(q, papers, papers).count() == 4
+
+
 def test_order_by_year(papers):
     q = Query(keyword="dna binding", corpora=["C. elegans", "S. cerevisiae"], sort_by_year=True)
     assert [r["year"] for r in search.search(q, papers).collect()] == ["2016", "2014-10-30", "2000-08"]
