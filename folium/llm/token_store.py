@@ -10,6 +10,7 @@ Layout of a store, all Parquet::
     chunks/   digest binary(16), payload binary (little-endian ids, 2 bytes each where the vocabulary allows, else 4)
     recipes/  idx, doc_id, start, n_tokens, leaves array<binary>, after array<long> (ids behind each chunk), root
     merkle/   level, node, root (nodes of up to 1024 children; the single node of the last level covers all)
+    format/   id_bytes, end_id, mean_chunk, documents (their number)
 
 Defined results: null text reads as empty; every document has at least the end id; null ``doc_id`` sorts first;
 repeated rows are documents of their own; an empty table gives an empty store; other columns are ignored.
@@ -149,19 +150,32 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, path: str | N
         rows, ids = rows + n, ids + t
     base = spark.createDataFrame(offsets, "part int, rows long, ids long")
     local.join(F.broadcast(base), "part").select((F.col("rows") + F.col("row")).alias("idx"), "doc_id", (F.col("ids") + F.col("local")).alias("start"), "n_tokens", "leaves", "after", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    level, nodes = 0, spark.read.parquet(f"{path}/recipes").select(F.col("idx").alias("node"), "root")
-    while rows > 0:
-        rows = -(-rows // _FAN)
-        level += 1
-        joined = nodes.groupBy(F.expr(f"node div {_FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("below"))
-        joined.select(F.lit(level).alias("level"), "node", F.unhex(F.sha2(F.expr("unhex(array_join(transform(below, x -> hex(x.root)), ''))"), 256)).alias("root")).write.mode("append").parquet(f"{path}/merkle")
-        nodes = spark.read.parquet(f"{path}/merkle").where(F.col("level") == level).select("node", "root")
-        if rows == 1:
-            break
-    spark.createDataFrame([(4 if wide else 2, end_id, mean_chunk)], "id_bytes int, end_id long, mean_chunk int").coalesce(1).write.parquet(f"{path}/format")
+    nodes = _documents_as_nodes(spark.read.parquet(f"{path}/recipes"))
+    for level in range(1, _levels(rows) + 1):
+        _parents(nodes).write.mode("append").parquet(f"{path}/merkle")
+        nodes = spark.read.parquet(f"{path}/merkle").where(F.col("level") == level)
+    spark.createDataFrame([(4 if wide else 2, end_id, mean_chunk, rows)], "id_bytes int, end_id long, mean_chunk int, documents long").coalesce(1).write.parquet(f"{path}/format")
     return path
 
 
+def _levels(documents: int) -> int:
+    """Levels of the tree above so many documents."""
+    n, levels = documents, 0
+    while n > 1 or n and not levels:
+        n, levels = -(-n // _FAN), levels + 1
+    return levels
+
+
+def _documents_as_nodes(recipes: DataFrame) -> DataFrame:
+    return recipes.select(F.lit(0).alias("level"), F.col("idx").alias("node"), "root")
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """``level, node, root`` to the nodes one level up."""
+    joined = nodes.groupBy((F.col("level") + 1).alias("level"), F.expr(f"node div {_FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("below"))
+    return joined.select("level", "node", F.unhex(F.sha2(F.expr("unhex(array_join(transform(below, x -> hex(x.root)), ''))"), 256)).alias("root"))
+
+
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of polynomials over GF(2) modulo the CRC-32 polynomial, by element."""
     a, b = a.astype(np.uint64), b.astype(np.uint64)
@@ -207,9 +221,22 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back: per document ``doc_id, start, n_tokens, ids_crc32, chunks, sound``.
 
     The CRC of a document's ids (little-endian, 4 bytes each) is joined from those of its stored chunks, so payloads
-    are read once and never shuffled. ``sound``: every chunk has the digest it is filed under, lengths add up and the
-    recipe has the document's root.
+    are read once and never shuffled. ``sound``: every chunk has the digest it is filed under, lengths add up, the
+    recipe's leaves in their order give its root, the roots of the up to 1024 documents below a node give the node's, and
+    the store is whole: it has as many documents as it was written with, and its nodes give each other up to the top. A
+    document that is gone thus makes all others unsound; with every document gone there is no row to say so, an error.
     """
+    documents = spark.read.parquet(f"{path}/format").first()["documents"]
+    recipes = spark.read.parquet(f"{path}/recipes")
+    left = recipes.count()
+    if documents and not left:
+        raise ValueError(f"all {documents} documents of the store are gone")
+    nodes = "level int, node long, root binary"
+    tree = spark.read.schema(nodes).parquet(f"{path}/merkle") if documents else spark.createDataFrame([], nodes)
+    proved = _parents(_documents_as_nodes(recipes)).join(tree, ["level", "node", "root"], "left_semi").select("node")
+    # nodes above the first level as their children give them and as they are filed: every one has to stand in both
+    given, filed = _parents(tree.where(F.col("level") < _levels(documents))).withColumn("n", F.lit(1)), tree.where("level > 1").withColumn("n", F.lit(-1))
+    whole = left == documents and tree.where("level = 1").count() == -(-documents // _FAN) and given.unionByName(filed).groupBy("level", "node", "root").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
     facts = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(_chunk_facts(_kind(spark, path)), "digest binary, n long, crc long, sound boolean")
 
     @F.pandas_udf("long")
@@ -218,11 +245,20 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
         return pd.Series(shifted_crc(crc.to_numpy(), after.to_numpy() * 4).astype(np.int64))
 
-    used = spark.read.parquet(f"{path}/recipes").select("idx", "doc_id", "start", "n_tokens", F.explode(F.arrays_zip("leaves", "after")).alias("x"))
-    used = used.select("idx", "doc_id", "start", "n_tokens", F.col("x.leaves").alias("digest"), F.col("x.after").alias("after"))
-    whole = used.join(facts, "digest", "left").withColumn("placed", placed(F.coalesce("crc", F.lit(0)), "after"))
-    docs = whole.groupBy("idx", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(placed)").alias("ids_crc32"), F.count("*").alias("chunks"), F.expr("bool_and(coalesce(sound, false))").alias("sound"), F.sum("n").alias("n"))
-    return docs.select("doc_id", "start", "n_tokens", "ids_crc32", "chunks", (F.col("sound") & (F.coalesce("n", F.lit(0)) == F.col("n_tokens"))).alias("sound"))
+    @F.pandas_udf("binary")
+    def root_of(leaves):
+        import pandas as pd
+
+        return pd.Series([digest_of(b"".join(x)) for x in leaves])
+
+    rooted = recipes.withColumn("rooted", F.coalesce(root_of("leaves") == F.col("root"), F.lit(False)))
+    used = rooted.select("idx", "doc_id", "start", "n_tokens", "rooted", F.explode_outer(F.arrays_zip("leaves", "after")).alias("x"))
+    used = used.select("idx", "doc_id", "start", "n_tokens", "rooted", F.col("x.leaves").alias("digest"), F.coalesce("x.after", F.lit(0)).alias("after"))
+    joined = used.join(facts, "digest", "left").withColumn("placed", placed(F.coalesce("crc", F.lit(0)), "after"))
+    docs = joined.groupBy("idx", "doc_id", "start", "n_tokens", "rooted").agg(F.expr("bit_xor(placed)").alias("ids_crc32"), F.count("digest").alias("chunks"), F.expr("bool_and(coalesce(sound, false))").alias("sound"), F.sum("n").alias("n"))
+    docs = docs.withColumn("node", F.expr(f"idx div {_FAN}")).join(proved.withColumn("proved", F.lit(True)), "node", "left")
+    sound = F.col("sound") & (F.coalesce("n", F.lit(0)) == F.col("n_tokens")) & F.col("rooted") & F.coalesce("proved", F.lit(False)) & F.lit(whole)
+    return docs.select("doc_id", "start", "n_tokens", "ids_crc32", "chunks", sound.alias("sound"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -73,6 +73,35 @@ def test_store_edges_and_reading_back(spark):
     assert token_store.verify_store(spark, empty).isEmpty() and token_store.merkle_root(spark, empty) is None
 
 
+def test_tampered_and_lost_recipes_are_not_sound(spark, tmp_path):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["fish", "tree", "stone", "river", "and", "one"]) for _ in range(2000 if i == 7 else 3))) for i in range(1100)]
+    token_store.write_store(frame(spark, rows), tokens.tokenizer_file("word_bpe_49k.json"), 1, f"file://{tmp_path}/store")
+    recipes = spark.read.parquet(f"file://{tmp_path}/store/recipes")
+
+    def unsound(name, changed, part="recipes"):
+        for other in {"chunks", "recipes", "merkle", "format"} - {part}:
+            shutil.copytree(tmp_path / "store" / other, tmp_path / name / other)
+        changed.write.parquet(f"file://{tmp_path}/{name}/{part}")
+        got = token_store.verify_store(spark, f"file://{tmp_path}/{name}").collect()
+        return len(got), {r["doc_id"] for r in got if not r["sound"]}
+
+    of = lambda key, then, other: F.when(F.col("doc_id") == key, then).otherwise(other)
+    assert unsound("healthy", recipes) == (1100, set())
+    assert unsound("reordered", recipes.withColumn("leaves", of(7, F.reverse("leaves"), F.col("leaves")))) == (1100, {7})
+    assert unsound("no_leaves", recipes.withColumn("leaves", of(7, F.slice("leaves", 1, 0), F.col("leaves")))) == (1100, {7})
+    assert unsound("other_root", recipes.withColumn("root", of(1050, F.unhex(F.lit("00" * 16)), F.col("root")))) == (1100, set(range(1024, 1100)))
+    assert unsound("lost", recipes.where("doc_id < 1024")) == (1024, set(range(1024)))
+    tree = spark.read.parquet(f"file://{tmp_path}/store/merkle")
+    assert unsound("cut_tree", tree.where("level = 1"), "merkle") == (1100, set(range(1100)))
+    with pytest.raises(ValueError):
+        unsound("all_lost", recipes.limit(0))
+
+
 def test_shared_passages_share_chunks():
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 40000, 5000)
