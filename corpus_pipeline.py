@@ -50,7 +50,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(rows, row=row)
     single = found.where("component_size = 1").select("rid")
     # the first of a group by id and row: partial minima, no group in one task
-    first = found.where("component_size > 1").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))["rid"].alias("rid"))
+    first = found.where("component_size > 1").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))["rid"].alias("rid"))
     return rows.join(single.unionByName(first.select("rid")).withColumnRenamed("rid", row), row, "left_semi").select(*docs.columns)
 
 

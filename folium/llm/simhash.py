@@ -203,9 +203,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``doc_id, fp, component_id, component_size``, and ``rid`` if ``row`` names a column of row numbers.
+    """Per row of ``docs(doc_id, text)``: ``doc_id, fp, component_id, component_size, root``, and ``rid`` if ``row`` names a column of row numbers.
 
-    ``fp`` is the fingerprint as a signed long; ``component_id`` the smallest ``doc_id`` that links reach.
+    ``fp`` is the fingerprint as a signed long; ``component_id`` the smallest ``doc_id`` that links reach,
+    which null or repeated ids leave null or give to several components; ``root``, a fingerprint, is a component's own.
     """
     own = ["rid"] if row else []
     number = [F.col(row).alias("rid")] if row else []
@@ -217,5 +218,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, row: str | None = N
     found = components(links)
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     totals = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = materialize(rooted.select("fp", "root").join(totals, "root").select("fp", "component_id", "component_size"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component_size", *own)
+    named = materialize(rooted.select("fp", "root").join(totals, "root").select("fp", "component_id", "component_size", "root"), "named")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "component_size", "root", *own)

@@ -287,6 +287,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(whole[r["doc_id"]] == r["doc_tokens"] * times[r["doc_id"]] for r in pieces)
 
 
+def test_near_stage_keeps_one_of_each_group_whatever_the_ids(spark, sf_dir):
+    rng = random.Random(9)
+    text = {k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["a"].upper()), (None, text["b"]), (None, text["b"].upper()), (5, text["c"]), (9, text["c"].upper()), (8, text["d"].upper()), (5, text["d"])]
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted((r["text"].lower(), r["doc_id"]) for r in kept) == sorted((text[k], key) for k, key in zip("abcd", (None, None, 5, 5), strict=True))
+
+
 def test_pipeline_stages_on_edges(spark, sf_dir):
     rows = [(*e, 1, 2, "own") for e in EDGES]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_number long, times int, rid string")
