@@ -10,10 +10,11 @@ from folium.functions.text import TOKEN_BREAK, words
 OWN_PREFIX = "pAaCh"
 
 
-def ancestors(edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """``category, ancestor``: the transitive closure of ``parent, child``, without duplicates and safe on cycles.
 
-    A round joins the pairs found last with the edges and keeps what is new; rounds are cut by checkpoints.
+    A round joins the pairs found last with all found and keeps what is new, so paths double until nothing is new;
+    rounds are cut by checkpoints.
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -22,15 +23,13 @@ def ancestors(edges: DataFrame, max_depth: int = 32) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folium-"))
     step = edges.select(F.col("child").alias("category"), F.col("parent").alias("ancestor")).distinct()
     found = fresh = step.checkpoint()
-    base = found
-    for _ in range(max_depth):
-        onward = base.select(F.col("category").alias("ancestor"), F.col("ancestor").alias("above"))
+    while True:
+        onward = found.select(F.col("category").alias("ancestor"), F.col("ancestor").alias("above"))
         grown = fresh.join(onward, "ancestor").select("category", F.col("above").alias("ancestor")).distinct()
         fresh = grown.join(found, ["category", "ancestor"], "left_anti").checkpoint()
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh).checkpoint()
-    return found
 
 
 def expand(lexicon: DataFrame, closure: DataFrame) -> DataFrame:

@@ -87,6 +87,12 @@ def test_ancestors_survive_cycles_and_two_parents(spark):
     assert {r["category"] for r in full.where("term = 'u'").collect()} == {"c", "pAaChc", "pAaCha", "pAaChb", "pAaChx"}
 
 
+def test_ancestors_of_a_deep_hierarchy(spark):
+    n = 40
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "parent int, child int")
+    assert {(r[0], r[1]) for r in lexicon.ancestors(edges).collect()} == {(c, a) for c in range(n + 1) for a in range(c)}
+
+
 # --- search
 
 
