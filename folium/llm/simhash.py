@@ -1,9 +1,9 @@
-"""SimHash near-duplicates through a byte-position inverted index with count filtering.
+"""SimHash near-duplicates through an inverted index of five-byte keys.
 
 Two 64-bit fingerprints at most 3 bits apart agree in at least 5 of 8 bytes. The index posts every distinct
 fingerprint under each choice of 5 positions with the bytes found there, so any pair to be linked meets in some
-posting list. Within a list pairs are tallied by bytes shared, those with 5 or more are verified by their differing
-bits, and only a spanning forest of the list goes on: links are never expanded into all pairs of a group. A list holds
+posting list; the keys stand in for a tally of shared bytes. Within a list pairs are verified by their differing bits,
+and only a spanning forest of the list goes on: links are never expanded into all pairs of a group. A list holds
 distinct fingerprints that differ in 3 bytes, so it has at most 2^24 entries; long ones are linked by probing
 the 2324 values within 3 bits of each entry in a bitmap, which keeps both memory and time bounded.
 
@@ -106,19 +106,13 @@ def _probes() -> np.ndarray:
     return np.array([*one, *(a | b for a, b in combinations(one, 2)), *(a | b | c for a, b, c in combinations(one, 3))], np.int64)
 
 
-def _same_bytes(diff: np.ndarray) -> np.ndarray:
-    """How many of 8 byte positions two fingerprints share, from their xor."""
-    return (np.ascontiguousarray(diff).view(np.uint8).reshape(*diff.shape, 8) == 0).sum(axis=-1)
-
-
 def forest_of(values: np.ndarray, choice: int) -> list[tuple[int, int]]:
     """Links enough to connect whatever lies within 3 bits in one posting list of distinct fingerprints."""
     n, forest, links = len(values), _Forest(), []
     if n <= _PAIRWISE:
         for i in range(n - 1):
             diff = values[i + 1 :] ^ values[i]
-            near = np.flatnonzero(_same_bytes(diff) >= 8 - MAX_BITS)
-            for j in near[np.bitwise_count(diff[near]) <= MAX_BITS].tolist():
+            for j in np.flatnonzero(np.bitwise_count(diff) <= MAX_BITS).tolist():
                 if forest.join(i, i + 1 + j):
                     links.append((i, i + 1 + j))
     else:
