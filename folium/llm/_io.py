@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,29 @@ def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into runs of rows of about ``limit`` bytes of a column; a longer text is a run of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def trim() -> None:
+    """Gives memory that a worker doesn't use back to the machine, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def text_column(name: str = "text"):
     """A text with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm._io import slices, text_column
+from folium.session import ship
 
 PASSAGE = 512
 _SLOTS = 512
@@ -162,6 +163,7 @@ def _encoded(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 256) -> AttentionModel:
     """Learn from ``labels(doc_id, quality)`` that aren't held out and the texts of ``docs(doc_id, text)``."""
+    ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most ``max_docs`` rows of two numbers: small enough to broadcast whatever the tables' size
@@ -190,6 +192,7 @@ def _scorer(model: AttentionModel):
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """``doc_id, score`` for every row of ``docs(doc_id, text)``."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(_scorer(model), "doc_id long, score double")
 
 
@@ -205,6 +208,7 @@ def _keeper(model: AttentionModel, least: float):
 
 def keep(docs: DataFrame, model: AttentionModel, least: float) -> DataFrame:
     """Rows of ``docs`` that score ``least`` or more, with all their columns; texts are never shuffled."""
+    ship(docs.sparkSession)
     return docs.mapInArrow(_keeper(model, least), docs.schema)
 
 

@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm._io import drop_folder, materialize, new_folder, slices, text_column
+from folium.llm._io import drop_folder, materialize, new_folder, portions, text_column, trim
 from folium.llm.tokens import SLICE, encoder
+from folium.session import ship
 
 _RAW = "doc_id long, n_tokens long, leaves array<binary>, after array<long>, root binary, digest binary, payload binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("leaves", pa.list_(pa.binary())), ("after", pa.list_(pa.int64())), ("root", pa.binary()), ("digest", pa.binary()), ("payload", pa.binary())])
@@ -68,43 +70,54 @@ def cut_points(n: int, candidates: np.ndarray, low: int, high: int) -> list[int]
     return ends
 
 
+def _ends_of(counts: np.ndarray, candidates: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of all documents, as places among all ids, and how many chunks each document has."""
+    low, high = mean // 4, mean * 4
+    last = np.cumsum(counts)
+    first = last - counts
+    short = counts <= low  # one chunk, without a look at candidates
+    ends, n = [last[short]], np.ones(len(counts), np.int64)
+    lo, hi = np.searchsorted(candidates, first, side="right"), np.searchsorted(candidates, last)
+    for j in np.flatnonzero(~short).tolist():
+        own = cut_points(int(counts[j]), candidates[lo[j] : hi[j]] - first[j], low, high)
+        n[j] = len(own)
+        ends.append(np.array(own, np.int64) + first[j])
+    return np.sort(np.concatenate(ends)), n
+
+
+def _lists(values: pa.Array, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+
+
 def _chunker(model, end_id: int, wide: bool, mean: int):
     def run(batches):
         enc, seen, mask = encoder(model.value), set(), np.uint32(mean - 1)
-        kind = "<u4" if wide else "<u2"
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts, SLICE):
-                flat, counts = enc.encode(texts[a:z])
-                out: dict[str, list] = {n: [] for n in _ARROW.names}
-                ends_at = np.cumsum(counts + 1)
-                ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32)
-                # a chunk is longer than the hash reaches back, so edges don't depend on the text before
-                candidates = np.flatnonzero((rolling_hash(ids) & mask) == 0) + 1
-                data_all = ids.astype(kind).tobytes()
-                width = len(data_all) // len(ids)
-                at = 0
-                firsts = np.searchsorted(candidates, np.concatenate([[0], ends_at]), side="right")
-                for j, (key, n) in enumerate(zip(keys[a:z], counts.tolist(), strict=True)):
-                    data = data_all[at * width : (at + n + 1) * width]
-                    candidates_here = candidates[firsts[j] : firsts[j + 1]] - at
-                    at += n + 1
-                    ends = cut_points(n + 1, candidates_here, mean // 4, mean * 4)
-                    leaves, after, last = [], [], 0
-                    for e in ends:
-                        piece = data[last * width : e * width]
-                        leaves.append(d := digest_of(piece))
-                        after.append(n + 1 - e)
-                        last = e
-                        if d not in seen:
-                            if len(seen) > 300_000:
-                                seen.clear()
-                            seen.add(d)
-                            for name, v in zip(_ARROW.names, (None, None, None, None, None, d, piece), strict=True):
-                                out[name].append(v)
-                    for name, v in zip(_ARROW.names, (key, n + 1, leaves, after, digest_of(b"".join(leaves)), None, None), strict=True):
-                        out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+        kind, width = ("<u4", 4) if wide else ("<u2", 2)
+        for part in portions(batches, limit=SLICE):
+            flat, counts = enc.encode(part.column("text").to_pylist())
+            ids = np.insert(flat, np.cumsum(counts), end_id)
+            counts = counts + 1
+            # a chunk is longer than the hash reaches back, so edges don't depend on the text before
+            candidates = np.flatnonzero((rolling_hash(ids) & mask) == 0) + 1
+            ends, n = _ends_of(counts, candidates, mean)
+            data = memoryview(ids.astype(kind).tobytes())
+            at = (np.concatenate([[0], ends]) * width).tolist()
+            leaves = [hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in pairwise(at)]
+            fresh = []
+            for i, d in enumerate(leaves):
+                if d not in seen:
+                    seen.add(d)
+                    fresh.append(i)
+            bounds = np.concatenate([[0], np.cumsum(n)]).tolist()
+            roots = [digest_of(b"".join(leaves[a:z])) for a, z in pairwise(bounds)]
+            after = np.repeat(np.cumsum(counts), n) - ends
+            docs = [part.column("doc_id"), pa.array(counts), _lists(pa.array(leaves, pa.binary()), n), _lists(pa.array(after), n), pa.array(roots, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*docs, *(pa.nulls(len(counts), pa.binary()) for _ in range(2))], schema=_ARROW)
+            chunks = [pa.array([leaves[i] for i in fresh], pa.binary()), pa.array([bytes(data[at[i] : at[i + 1]]) for i in fresh], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(fresh), t) for t in _ARROW.types[:5]), *chunks], schema=_ARROW)
+            if len(seen) > 300_000:
+                seen.clear()
+        trim()
 
     return run
 
@@ -128,6 +141,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, path: str | N
 
     ``mean_chunk`` is the expected chunk length in ids, a power of two; chunks have between a quarter and four times that.
     """
+    ship(docs.sparkSession)
     import json
 
     spark = docs.sparkSession
@@ -135,7 +149,7 @@ def write_store(docs: DataFrame, tokenizer_json: str, end_id: int, path: str | N
     wide = max(json.loads(tokenizer_json)["model"]["vocab"].values()) > 0xFFFF or end_id > 0xFFFF
     model = spark.sparkContext.broadcast(tokenizer_json)
     raw_path = new_folder(spark, "raw")
-    raw = materialize(docs.select(F.col("doc_id").cast("long"), text_column()).mapInArrow(_chunker(model, end_id, wide, mean_chunk), _RAW), "raw", raw_path)
+    raw = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(_chunker(model, end_id, wide, mean_chunk), _RAW), "raw", raw_path)
     raw.where("digest is not null").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     ordered = raw.where("digest is null").select("doc_id", "n_tokens", "leaves", "after", "root").repartitionByRange(F.col("doc_id").asc(), F.col("root").asc()).sortWithinPartitions("doc_id", "root")
@@ -226,6 +240,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     the store is whole: it has as many documents as it was written with, and its nodes give each other up to the top. A
     document that is gone thus makes all others unsound; with every document gone there is no row to say so, an error.
     """
+    ship(spark)
     documents = spark.read.parquet(f"{path}/format").first()["documents"]
     recipes = spark.read.parquet(f"{path}/recipes")
     left = recipes.count()
@@ -263,6 +278,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The documents themselves: ``doc_id, start, ids array<int>``, put together from chunks."""
+    ship(spark)
     kind = _kind(spark, path)
 
     @F.pandas_udf("array<long>")

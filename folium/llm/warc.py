@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folium.llm._io import new_folder, text_column
+from folium.session import ship
 
 MIN_REVISIT = 1000
 SHARES = 32
@@ -136,6 +137,7 @@ def _parsed(with_payload: bool):
 
 def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """All records of a folder of gzipped WARC files; payload digests are computed from what is stored."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parsed(payload), _RECORD_SQL)
 
