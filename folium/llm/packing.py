@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm._io import materialize, slices, text_column
+from folium.llm._io import materialize, portions, text_column, trim
 from folium.llm.tokens import SLICE, encoder
+from folium.session import ship
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -78,24 +79,28 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 def _cutter(model, end_id: int, capacity: int):
     def run(batches):
         enc = encoder(model.value)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts, SLICE):
-                flat, counts = enc.encode(texts[a:z])
-                rows, at = [], 0
-                for key, n in zip(keys[a:z], counts.tolist(), strict=True):
-                    ids = np.empty(n + 1, "<u4")
-                    ids[:n], ids[n] = flat[at : at + n], end_id
-                    at += n
-                    data = memoryview(ids.tobytes())
-                    for s in range(0, n + 1, capacity):
-                        length = min(capacity, n + 1 - s)
-                        rows.append((key, s, length, zlib.crc32(data[4 * s : 4 * (s + length)]), n + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_PIECES)
+        for part in portions(batches, limit=SLICE):
+            flat, counts = enc.encode(part.column("text").to_pylist())
+            counts = counts + 1
+            ids = np.insert(flat, np.cumsum(counts - 1), end_id).astype("<u4")
+            doc, start, length, at = cuts(counts, capacity)
+            data = memoryview(ids.tobytes())
+            crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, counts[doc]))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_PIECES)
+        trim()
 
     return run
 
 
+def cuts(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Full windows and the remaining piece of each document of so many ids: document, start, length, place among all ids."""
+    n = -(-counts // capacity)
+    doc = np.repeat(np.arange(len(counts)), n)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+    return doc, start, np.minimum(capacity, counts[doc] - start), (np.cumsum(counts) - counts)[doc] + start
+
+
 def _placer(rows: list[tuple[int, int, int, int, int, int]]):
     table = np.array(sorted(rows), np.int64).reshape(-1, 6)
     lengths, first = table[:, 0], table[:, 1]
@@ -118,17 +123,19 @@ def _placer(rows: list[tuple[int, int, int, int, int, int]]):
 
 def pack(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = 1024) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` for every piece of ``docs(doc_id, text)``."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(tokenizer_json)
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), text_column()).mapInArrow(_cutter(model, end_id, capacity), _PIECE), "pieces")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).mapInArrow(_cutter(model, end_id, capacity), _PIECE)
+    pieces = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    # at most ``capacity`` rows, here and where they are broadcast
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # ranks within a length, in groups of a length and a share, so that a common length is many groups
-    shares = max(16, -(-pieces.count() // ROWS_A_GROUP))
-    salted = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shares)))
+    shares = spark.createDataFrame([(k, -(-n // ROWS_A_GROUP)) for k, n in sorted(histogram.items())], "length long, shares long")
+    salted = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")))
     sizes = materialize(salted.groupBy("length", "share").agg(F.count("*").alias("n")), "sizes")
-    # at most ``capacity`` rows
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(histogram, capacity)
     before = sizes.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")
+    own = Window.partitionBy("length", "share").orderBy("doc_id", "start", "row")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(before, ["length", "share"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     return ranked.select(*_PIECES.names, "rank").mapInArrow(_placer(rows), f"{_PIECE}, sequence_id long, offset long")
