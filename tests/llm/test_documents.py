@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -215,38 +216,78 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(frame(spark).limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("limit", [10, 3000])
-def test_posting_list_forest_connects_what_lies_near(limit, monkeypatch):
-    monkeypatch.setattr(simhash, "_PAIRWISE", limit)
-    rng = random.Random(4)
-    choice = 7
-    rest = [p for p in range(8) if p not in simhash.CHOICES[choice]]
-    values, base = set(), 0x1122334455667788
+def near_values(rng):
+    """Fingerprints in groups: bits flipped anywhere, in three bytes only, and bytes replaced so that pairs share four."""
+    values = {rng.getrandbits(64) for _ in range(300)}
     for _ in range(40):
-        seed = rng.getrandbits(24)
-        for _ in range(5):
-            short = seed
+        seed = rng.getrandbits(64)
+        low = [rng.randrange(8) * 8 for _ in range(3)]
+        for _ in range(12):
+            v = seed
             for _ in range(rng.randint(0, 4)):
-                short ^= 1 << rng.randrange(24)
-            v = base
-            for i, p in enumerate(rest):
-                v = v & ~(255 << 8 * p) | (short >> 8 * i & 255) << 8 * p
+                v ^= 1 << (rng.choice(low) + rng.randrange(8) if rng.random() < 0.5 else rng.randrange(64))
             values.add(v)
-    values = sorted(values)
-    group = {v: v for v in values}
+        for _ in range(3):
+            kept = rng.sample(range(8), 4)
+            values.add(sum((seed if p in kept else rng.getrandbits(64)) & 255 << 8 * p for p in range(8)))
+    return sorted(values)
+
+
+def sorted_batches(rows, size=97):
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    return [pa.RecordBatch.from_arrays([pa.array(rows[i : i + size, c].copy()) for c in (0, 1)], names=["key", "fp"]) for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize(("long", "seed"), [(5, 4), (3000, 4), (2, 5)])
+def test_index_connects_what_lies_near_and_nothing_else(long, seed, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG", long)
+    values = near_values(random.Random(seed))
+    fps = np.array(values, np.uint64).view(np.int64)
+    posted = [b for b in simhash._postings([pa.RecordBatch.from_arrays([pa.array(fps)], names=["fp"])])]
+    rows = np.stack([np.concatenate([b.column(c).to_numpy() for b in posted]) for c in (0, 1)], axis=1)
+    assert len(rows) == 35 * len(values)
+    found = pa.Table.from_batches(list(simhash._links(sorted_batches(rows))), schema=simhash._FOUND).to_pydict()
+    again = np.array([(k, a) for k, a in zip(found["again"], found["a"], strict=True) if k], np.int64).reshape(-1, 2)
+    assert (len(again) > 0) == (long < 3000)
+    links = [(a, b) for k, a, b in zip(found["again"], found["a"], found["b"], strict=True) if not k]
+    if len(again):
+        again = np.unique(again, axis=0)
+        more = pa.Table.from_batches(list(simhash._long_links(sorted_batches(again))), schema=simhash._FOUND).to_pydict()
+        links += zip(more["a"], more["b"], strict=True)
+    group = {v: v for v in fps.tolist()}
 
     def top(x):
         while group[x] != x:
             x = group[x]
         return x
 
-    for a, b in simhash.forest_of(np.array(values, np.uint64), choice):
-        assert (a ^ b).bit_count() <= 3
+    for a, b in links:
         a, b = top(a), top(b)
-        assert a != b
         group[max(a, b)] = min(a, b)
-    expected = naive_components(dict(zip(values, values)))
-    assert {v: top(v) for v in values} == expected
+    unsigned = {v: v & 2**64 - 1 for v in group}
+    expected = naive_components(unsigned)
+    by_root = defaultdict(set)
+    for v in group:
+        by_root[top(v)].add(v)
+    assert sorted(map(sorted, by_root.values())) == sorted(sorted(v for v in expected if expected[v] == r) for r in set(expected.values()))
+    assert len(by_root) < len(values)
+
+
+def test_tally_rejects_pairs_before_they_are_verified():
+    values = np.array(near_values(random.Random(6)), np.uint64)
+    met = set()
+    for c, positions in enumerate(simhash.CHOICES):
+        lists = defaultdict(list)
+        for v, k in zip(values.tolist(), simhash._key(values, c, positions).tolist(), strict=True):
+            lists[k].append(v)
+        met |= {(a, b) for own in lists.values() for i, a in enumerate(own) for b in own[i + 1 :]}
+    a, b = (np.array([p[i] for p in sorted(met)], np.uint64) for i in (0, 1))
+    tally = simhash.shared_bytes(a ^ b)
+    assert tally.tolist() == [sum(x.to_bytes(8)[i] == y.to_bytes(8)[i] for i in range(8)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    near = {(x, y) for x in values.tolist() for y in values.tolist() if x < y and (x ^ y).bit_count() <= 3}
+    assert near <= met
+    assert (tally == 4).sum() > 50 and (tally >= 5).sum() > len(near)
+    assert {(int(a[i]), int(b[i])) for i in simhash.passing(a, b)} == near
 
 
 def test_components_of_a_long_chain(spark):
