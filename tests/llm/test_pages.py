@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -29,6 +30,81 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(html.blocks_of(page)[1], list)
 
 
+def test_forms_link_regions_and_inline_parts():
+    wrapped = "<body><form id=aspnet><div class=menu>Home</div><article><h1>T</h1><p>text <span class=ad>Buy</span> goes <button>Go</button>on</p><form>Mail</form></article><input></form></body>"
+    assert html.blocks_of(wrapped) == (True, ["T", "text goes on"])
+    assert html.blocks_of("<form><p>all in a form</p><label>Name</label></form>") == (False, ["all in a form"])
+    assert html.blocks_of("<p>text</p><form><p>Your mail</p></form>") == (False, ["text"])
+    related = "<article><p>text</p><section class=related><p>{}</p><p><a href=/x>More of this kind</a></p></section><p>end</p></article>"
+    assert html.blocks_of(related.format("See")) == (True, ["text", "end"])
+    assert html.blocks_of(related.format("A long account of what is related to it")) == (True, ["text", "A long account of what is related to it", "More of this kind", "end"])
+    assert html.blocks_of("<main><p>a</p><article>one</article><article>two</article></main>") == (True, ["one", "two"])
+
+
+class Naive(HTMLParser):
+    """Text of article elements by the standard library's parser; enough for pages with plain blocks only."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks[-1] += " " * (tag == "br")
+        self.blocks += [""] * (tag in ("h1", "p"))
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] * (tag in ("h1", "p", "article"))
+
+    def handle_data(self, data):
+        self.blocks[-1] += data * (self.inside > 0)
+
+    def text(self):
+        return "\n\n".join(" ".join(b.split()) for b in self.blocks if b.strip())
+
+
+def test_extraction_query_against_another_parser(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    expected = {r["page_id"]: Naive(r["html"] or "").text() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert {r["page_id"]: r["text"] for r in queries.op7_html(spark, sf_dir).collect()} == expected
+
+
+def test_open_pages_against_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st"])
+    menus = [" ".join(word() + str(rng.randrange(30)) for _ in range(rng.randint(4, 12))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(menus) if rng.random() < 0.4 else " ".join(word() + str(rng.randrange(60)) for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 5))]
+        rows.append((i, f"http://{rng.choice('ab')}.example/{i}", "".join(f"<p>{p}</p>" for p in parts)))
+    rows += [(100 + r[0], r[1] + "copy", r[2]) for r in rows[:20] for _ in range(2)]
+    by_host = {}
+    for _, url, page in rows:
+        by_host.setdefault(url.split("/")[2], set()).add(page)
+    expected = {}
+    for key, url, page in rows:
+        words = lambda p: [w for b in p[3:-4].split("</p><p>") for w in b.split(" ")]
+        grams = [set(zip(*(words(p)[k:] for k in range(html.DEPTH)))) for p in by_host[url.split("/")[2]]]
+        own = words(page)
+        gone = set()
+        for k in range(len(own) - html.DEPTH + 1):
+            if sum(tuple(own[k : k + html.DEPTH]) in g for g in grams) >= html.MIN_PAGES:
+                gone |= set(range(k, k + html.DEPTH))
+        at, blocks = 0, []
+        for b in page[3:-4].split("</p><p>"):
+            n = len(b.split(" "))
+            blocks.append(" ".join(own[j] for j in range(at, at + n) if j not in gone))
+            at += n
+        expected[key, page] = "\n\n".join(b for b in blocks if b)
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    pages = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and {(r["page_id"], pages[r["page_id"]]): r["text"] for r in got} == expected
+    assert any(text != page[3:-4].replace("</p><p>", "\n\n") for (_, page), text in expected.items())
+
+
 def test_repeated_substrings_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
