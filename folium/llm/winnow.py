@@ -5,8 +5,8 @@ and its position: two texts that share a run of ``K + W - 1`` code points share
 where. A text with fewer runs than a window has one window; one shorter than ``K`` is a single run; an empty one has none.
 
 ``fingerprint_pairs`` pairs every document with the next one in falling ``doc_id`` order. Rows are dealt to ranges of
-ids, each range also gets the first row of the next, so one shuffle of the texts suffices and no task sees more than
-its ranges.
+ids by binary search in a worker, each range also gets the first row of the next, so one shuffle of the texts suffices
+and no task sees more than its ranges. Ranges are made for the input's size; the rows of one id are one range.
 
 Defined results: null text reads as empty; null ``doc_id`` comes last in falling order; rows with one id go by text; a single row is
 followed by itself; two empty fingerprints have likeness 1; an empty table gives no rows; other columns are ignored.
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm._io import text_column
+from folium.session import ship
 
 K, W = 16, 32
+RANGE_BYTES, MOST_RANGES = 1 << 24, 200_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 _NO_ID = -(2**63)
@@ -127,21 +129,41 @@ def _pairs(batches):
         yield _compared(ids, texts, following)
 
 
+def _ranges(rows: DataFrame) -> int:
+    """Ranges for about ``RANGE_BYTES`` of input each, by the optimizer's size of the plan, and some for each task."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 55  # without statistics it is about 2^63
+    return max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, MOST_RANGES) if known else 0)
+
+
 def fingerprint_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text of ``docs(doc_id, text)`` and of its edited text, with their likeness."""
-    spark = docs.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), text_column().alias("text"))
-    edges = sorted({int(q) for q in rows.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    literal = "array(" + ", ".join(f"{q}L" if q > _NO_ID else "bigint('-9223372036854775808')" for q in edges) + ")"
-    place = F.expr(f"-size(filter({literal}, q -> q <= key))") if edges else F.lit(0)
-    placed = rows.withColumn("at", place.cast("int"))
+    ranges = ranges or _ranges(rows)
+    edges = np.array(sorted({int(q) for q in rows.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else [], np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(key):
+        import pandas as pd
+
+        return pd.Series(-np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32))
+
+    placed = rows.withColumn("at", range_of("key"))
     # one row for each range
     tops = sorted(tuple(r) for r in placed.groupBy("at").agg(F.max("key")).collect())
-    before = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]
-    extra = F.create_map(*(F.lit(x) for pair in before for x in pair))[F.col("key")] if before else F.lit(None)
-    own = F.struct(F.col("at"), F.lit(False).alias("extra"))
-    more = F.when(extra.isNotNull(), F.array(own, F.struct(extra.cast("int").alias("at"), F.lit(True).alias("extra")))).otherwise(F.array(own))
-    dealt = placed.withColumn("to", F.explode(more)).select(F.col("to.at").alias("at"), F.col("to.extra").alias("extra"), "key", "text")
-    dealt = dealt.repartition("at").sortWithinPartitions("at", "extra", F.desc("key"), "text")
-    return dealt.select("at", "extra", F.when(F.col("key") > _NO_ID, F.col("key")).alias("doc_id"), "text").mapInArrow(_pairs, _OUT_SQL)
+    first = np.array(sorted((top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)), np.int64).reshape(-1, 2)
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(key):
+        """The range of a row, and where it is the first of its range also the one before."""
+        import pandas as pd
+
+        k = key.to_numpy()
+        own = -np.searchsorted(edges, k, side="right")
+        at = np.minimum(np.searchsorted(first[:, 0], k), len(first) - 1)
+        return pd.Series([[o, f] if hit else [o] for o, f, hit in zip(own.tolist(), first[at, 1].tolist(), (first[at, 0] == k).tolist(), strict=True)])
+
+    dealt = rows.withColumn("to", ranges_of("key")).select(F.posexplode("to").alias("extra", "at"), "key", "text")
+    dealt = dealt.repartition(-(-ranges // 4), "at").sortWithinPartitions("at", "extra", F.desc("key"), "text")
+    return dealt.select("at", F.col("extra") > 0, F.when(F.col("key") > _NO_ID, F.col("key")).alias("doc_id"), "text").mapInArrow(_pairs, _OUT_SQL)
