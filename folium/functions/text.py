@@ -50,11 +50,37 @@ def terms(text: Column, case_sensitive: bool = False) -> Column:
     return F.filter(words(text if case_sensitive else F.lower(text)), lambda w: w != "")
 
 
-def analyzed(text: Column, stop_words: list[str] | None = None, case_sensitive: bool = False, longest: int = 255) -> Column:
+ANALYZED = "[\\p{L}\\p{N}]+(?:['.][\\p{L}\\p{N}]+)*"
+LONGEST = 255
+
+
+def analyzed_places(text: Column, stop_words: list[str] | None = None, case_sensitive: bool = False, longest: int = LONGEST) -> Column:
+    """Tokens of letters and digits; stop words and those over ``longest`` characters are null, so the others keep their places."""
+    found = F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit(ANALYZED), F.lit(0))
+    stop = DEFAULT_STOP_WORDS if stop_words is None else stop_words
+    return F.transform(found, lambda w: F.when(~w.isin(*stop) & (F.length(w) <= longest), w) if stop else F.when(F.length(w) <= longest, w))
+
+
+def analyzed(text: Column, stop_words: list[str] | None = None, case_sensitive: bool = False, longest: int = LONGEST) -> Column:
     """Tokens of letters and digits without stop words and those over ``longest`` characters."""
-    found = F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit("[\\p{L}\\p{N}]+(?:['.][\\p{L}\\p{N}]+)*"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in (DEFAULT_STOP_WORDS if stop_words is None else stop_words))).cast("array<string>")
-    return F.filter(found, lambda w: ~F.array_contains(stop, w) & (F.length(w) <= longest))
+    return F.array_compact(analyzed_places(text, stop_words, case_sensitive, longest))
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of whole numbers, in the row; only the numbers cross to Python, in Arrow arrays."""
+
+    @F.arrow_udf("array<int>")
+    def run(v):
+        import numpy as np
+        import pyarrow as pa
+
+        edges = v.offsets.to_numpy().astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(v.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]])])
+        edges = edges - edges[0]
+        own = (sums[1:] - np.repeat(sums[edges[:-1]], np.diff(edges))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(own), mask=v.is_null())
+
+    return run(values)
 
 
 def tokens(text: Column) -> Column:
@@ -164,23 +190,26 @@ def short_id(number: Column) -> Column:
 
 
 def fnv(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units, 64 bits, 16 hex digits."""
+    """FNV-1a over UTF-16 code units, 64 bits, 16 hex digits; a batch's texts advance together, a unit a step."""
 
     @F.pandas_udf("string")
     def run(values):
         import numpy as np
-
-        out = []
-        for v in values:
-            if v is None:
-                out.append(None)
-                continue
-            h = 0xCBF29CE484222325
-            for unit in np.frombuffer(v.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
-                h = (h ^ unit) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            out.append(f"{h:016x}")
         import pandas as pd
 
+        known = values.notna().to_numpy()
+        data = [v.encode("utf-16-le", "surrogatepass") for v in values[known]]
+        sizes = np.array([len(d) // 2 for d in data], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        units = np.frombuffer(b"".join(data), "<u2").astype(np.uint64)
+        start, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        h = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+        longer = np.searchsorted(-left, -np.arange(1, int(left.max(initial=0)) + 1), side="right")
+        for k, n in enumerate(longer.tolist()):
+            h[:n] = (h[:n] ^ units[start[:n] + k]) * np.uint64(0x100000001B3)
+        out, hexed = np.full(len(values), None, object), np.empty(len(data), object)
+        hexed[order] = [f"{x:016x}" for x in h.tolist()]
+        out[known] = hexed
         return pd.Series(out, dtype=object)
 
     return run(text)

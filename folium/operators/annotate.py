@@ -5,49 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.text import SENTENCE_BREAK, TOKEN_BREAK, words
+from folium.functions.text import SENTENCE_BREAK, TOKEN_BREAK, running, words
 
 LAYOUT_TAGS = ["_image", "_sbr", "_hbr", "_fsc", "_fnc", "_ydiff", "_cr", "_page"]
 
 
 def spans(docs: DataFrame, pattern: str, width: Column | int, emit_tail: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans between matches of ``pattern``: ``key, begin, end, content``; empty ones go, and the text after the last match unless ``emit_tail``.
+    """Spans between matches of ``pattern``: ``key, ord, begin, end, content``; empty ones go, and the text after the last match unless ``emit_tail``.
 
-    ``width`` is the length of a match. Offsets count characters.
+    ``width`` is the length of a match. Offsets count characters; ``ord`` counts the spans that stay, from 1. Both come from
+    running sums within the row, so nothing is shuffled.
     """
-    parts = docs.select(key, F.posexplode(F.split(text, pattern, -1)).alias("pos", "content"), F.size(F.split(text, pattern, -1)).alias("n"))
-    step = F.length("content") + (width if isinstance(width, Column) else F.lit(width))
-    placed = parts.withColumn("end", F.sum(step).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - (step - F.length("content")))
-    kept = placed if emit_tail else placed.where("pos < n - 1")
-    return kept.where("content <> ''").select(key, (F.col("end") - F.length("content")).cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "content", "pos")
+    step = width if isinstance(width, Column) else F.lit(width)
+    parts = docs.select(key, F.split(text, pattern, -1).alias("s"))
+    placed = parts.select(key, "s", running(F.transform("s", lambda x: F.length(x) + step)).alias("stop"), running(F.transform("s", lambda x: (x != "").cast("int"))).alias("ord"))
+    kept = placed if emit_tail else placed.select(key, *(F.slice(c, 1, F.greatest(F.size("s") - 1, F.lit(0))).alias(c) for c in ("s", "stop", "ord")))
+    rows = kept.select(key, F.explode(F.arrays_zip("s", "stop", "ord")).alias("x")).where("x.s <> ''")
+    end = F.col("x.stop") - step
+    return rows.select(key, "x.ord", (end - F.length("x.s")).cast("int").alias("begin"), end.cast("int").alias("end"), F.col("x.s").alias("content"))
 
 
 def sentences(docs: DataFrame, emit_tail: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, sentence_id, begin, end, sentence``: ids count from 1 in document order."""
-    found = spans(docs, SENTENCE_BREAK, 2, emit_tail, key, text)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return found.select(key, number.alias("sentence_id"), "begin", "end", F.col("content").alias("sentence"))
+    return spans(docs, SENTENCE_BREAK, 2, emit_tail, key, text).select(key, F.col("ord").alias("sentence_id"), "begin", "end", F.col("content").alias("sentence"))
 
 
 def token_spans(docs: DataFrame, emit_tail: bool = False, key: str = "doc_id", text: str = "text", delimiters: bool = True) -> DataFrame:
     """Tokens and, if asked, the delimiters between them: ``key, begin, end, content``."""
-    marked = docs.select(key, F.col(text).alias("t"), F.split(text, TOKEN_BREAK, -1).alias("s"), F.regexp_extract_all(text, F.lit(TOKEN_BREAK), F.lit(0)).alias("d"))
-    pieces = F.flatten(F.zip_with("s", "d", lambda s, d: F.array(F.struct(s.alias("content"), F.lit(False).alias("mark")), F.struct(d.alias("content"), F.lit(True).alias("mark")))))
-    rows = marked.select(key, F.posexplode(pieces).alias("pos", "x"), (2 * F.size("s") - 2).alias("tail")).select(key, "pos", "tail", "x.content", "x.mark").where("content is not null")
-    end = F.sum(F.length("content")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("end", end.cast("int")).where("content <> ''")
+    marked = docs.select(key, F.split(text, TOKEN_BREAK, -1).alias("s"), F.regexp_extract_all(text, F.lit(TOKEN_BREAK), F.lit(0)).alias("d"))
+    pieces = F.flatten(F.zip_with("s", "d", lambda s, d: F.array(s, d)))  # ends with a null, as there is one delimiter less
+    placed = marked.select(key, pieces.alias("s")).select(key, "s", running(F.transform("s", lambda x: F.length(F.coalesce(x, F.lit(""))))).alias("stop"))
+    rows = placed.select(key, F.size("s").alias("n"), F.posexplode(F.arrays_zip("s", "stop")).alias("pos", "x")).where("x.s <> ''")
     if not emit_tail:
-        kept = kept.where("pos < tail or mark")
+        rows = rows.where("pos < n - 2")
     if not delimiters:
-        kept = kept.where("not mark")
-    return kept.select(key, (F.col("end") - F.length("content")).alias("begin"), "end", "content")
+        rows = rows.where("pos % 2 = 0")
+    return rows.select(key, (F.col("x.stop") - F.length("x.s")).alias("begin"), F.col("x.stop").alias("end"), F.col("x.s").alias("content"))
 
 
 def word_positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every word with its ordinal and offsets, by running length plus one break each."""
-    rows = docs.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    end = F.sum(F.length("word") + 1).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return rows.select(key, "pos", (end - F.length("word")).cast("int").alias("begin"), end.cast("int").alias("end"), "word").where("word <> ''")
+    placed = docs.select(key, words(F.col(text)).alias("s")).select(key, "s", running(F.transform("s", lambda x: F.length(x) + 1)).alias("stop"))
+    rows = placed.select(key, F.posexplode(F.arrays_zip("s", "stop")).alias("pos", "x")).where("x.s <> ''")
+    return rows.select(key, "pos", (F.col("x.stop") - 1 - F.length("x.s")).alias("begin"), (F.col("x.stop") - 1).alias("end"), F.col("x.s").alias("word"))
 
 
 def layout_tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import TOKEN_BREAK, words
+from folium.functions.text import TOKEN_BREAK, running, words
 
 OWN_PREFIX = "pAaCh"
 
@@ -46,24 +46,27 @@ def match(docs: DataFrame, lexicon: DataFrame, stop_words: DataFrame | None = No
     Texts are cut at token breaks that are kept as pieces; a term of n pieces can only be n pieces in a row. For each
     piece count that occurs in the lexicon the runs of that many pieces are joined with the terms; Spark broadcasts the
     lexicon if it is small. A term right at the start is found only with ``at_start``, as matching starts behind a
-    break. Matches that equal a stop word are left out. Runs and offsets come from one window over a document's pieces.
+    break. Matches that equal a stop word are left out. Runs and offsets are made within the row: before the join nothing
+    is shuffled.
     """
     marked = lambda c: F.filter(F.split(F.regexp_replace(c, f"({TOKEN_BREAK})", "\u0001$1\u0001"), "\u0001"), lambda p: p != "")
     lex = lexicon.select("term", "category").where("term <> ''").distinct().withColumn("pieces", F.size(marked(F.col("term"))))
     # a handful of numbers: how many pieces terms have
     lengths = sorted(r[0] for r in lex.select("pieces").distinct().collect())
-    order = Window.partitionBy(key).orderBy("pos")
     is_break = lambda c: c.rlike(f"^(?:{TOKEN_BREAK})$")
-    spread = docs.select(key, F.posexplode(marked(F.col(text))).alias("pos", "piece"))
-    previous = F.lag("piece").over(order)
-    placed = spread.withColumn("starts", F.coalesce(is_break(previous), F.lit(at_start)))
-    placed = placed.withColumn("begin", (F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece")).cast("int"))
-    runs = []
-    for k in lengths:
-        run = F.concat(*(F.lead("piece", i).over(order) for i in range(k))) if k > 1 else F.col("piece")
-        runs.append(F.when(F.coalesce(is_break(F.lead("piece", k).over(order)), F.lit(True)), F.struct(F.lit(k).alias("pieces"), run.alias("term"))))
-    none = F.array().cast("array<struct<pieces:int,term:string>>")
-    found = placed.select(key, "begin", "starts", (F.array(*runs) if runs else none).alias("runs")).where("starts").select(key, "begin", F.explode("runs").alias("r")).select(key, "begin", "r.pieces", "r.term").where("term is not null")
+    placed = docs.select(key, marked(F.col(text)).alias("p")).select(key, "p", running(F.transform("p", F.length)).alias("stop"), F.transform("p", is_break).alias("mark"))
+
+    def run(k: int):
+        def at(x, i):
+            free = F.when(i > 0, F.get("mark", i - 1)).otherwise(F.lit(at_start)) & F.coalesce(F.get("mark", i + k), F.lit(True)) & (i + k <= F.size("p"))
+            term = F.concat(x, *(F.get("p", i + j) for j in range(1, k)))
+            return F.when(free, F.struct(F.lit(k).alias("pieces"), (F.get("stop", i) - F.length(x)).alias("begin"), term.alias("term")))
+
+        return F.transform("p", at)
+
+    runs = [run(k) for k in lengths]
+    none = F.array().cast("array<struct<pieces:int,begin:int,term:string>>")
+    found = placed.select(key, F.explode(F.array_compact(F.flatten(F.array(*runs))) if runs else none).alias("r")).select(key, "r.pieces", "r.begin", "r.term")
     out = found.join(lex, ["pieces", "term"])
     if stop_words is not None:
         out = out.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti")
