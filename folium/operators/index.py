@@ -2,73 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folium.functions.text import terms
+from folium.functions.text import DEFAULT_STOP_WORDS, analyzed, analyzed_places
 from folium.operators.annotate import sentences
+from folium.session import shared_root
 
-GRANULARITIES = ["fulltext", "sentence"]
+GRANULARITIES = {"document": "fulltext", "sentence": "sentence"}
 CASE_MODES = ["ci", "cs"]
 
 
-def postings(docs: DataFrame, granularity: str = "fulltext", case_mode: str = "ci", sentence_rows: DataFrame | None = None) -> DataFrame:
-    """``granularity, case_mode, field, term, doc_id, sentence_id, tf, positions`` of ``docs(doc_id, text)``."""
+def units(docs: DataFrame, granularity: str = "fulltext", sentence_rows: DataFrame | None = None) -> DataFrame:
+    """What is searched in: ``doc_id, sentence_id, text`` of documents or of their sentences."""
     if granularity == "sentence":
-        units = (sentence_rows if sentence_rows is not None else sentences(docs)).select("doc_id", "sentence_id", F.col("sentence").alias("text"))
-    else:
-        units = docs.select("doc_id", F.lit(None).cast("int").alias("sentence_id"), "text")
-    spread = units.select("doc_id", "sentence_id", F.posexplode(terms(F.col("text"), case_mode == "cs")).alias("pos", "term"))
+        rows = sentence_rows if sentence_rows is not None else sentences(docs.select("doc_id", "text"))
+        return rows.select("doc_id", "sentence_id", F.col("sentence").alias("text"))
+    return docs.select("doc_id", F.lit(None).cast("int").alias("sentence_id"), "text")
+
+
+def postings(docs: DataFrame, granularity: str = "fulltext", case_mode: str = "ci", sentence_rows: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """``granularity, case_mode, field, term, doc_id, sentence_id, tf, positions`` of ``docs(doc_id, text)``, analyzed."""
+    places = analyzed_places(F.col("text"), stop_words, case_mode == "cs")
+    spread = units(docs, granularity, sentence_rows).select("doc_id", "sentence_id", F.posexplode(places).alias("pos", "term")).where("term is not null")
     grouped = spread.groupBy("term", "doc_id", "sentence_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return grouped.select(F.lit(granularity).alias("granularity"), F.lit(case_mode).alias("case_mode"), F.lit("text").alias("field"), "term", "doc_id", "sentence_id", "tf", "positions")
 
 
-def unit_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("granularity", "case_mode", "field", "doc_id", "sentence_id").agg(F.sum("tf").cast("int").alias("n_terms"))
+def unit_lengths(docs: DataFrame, granularity: str = "fulltext", case_mode: str = "ci", sentence_rows: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """``doc_id, sentence_id, n_terms`` of every unit, those without terms too."""
+    return units(docs, granularity, sentence_rows).select("doc_id", "sentence_id", F.size(analyzed(F.col("text"), stop_words, case_mode == "cs")).alias("n_terms"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("granularity", "case_mode", "field", "term").agg(F.count("*").alias("df"))
-
-
-def write_index(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """All four indexes below ``path``, one folder for each granularity and case mode, files sorted by term."""
-    first = True
-    for g in GRANULARITIES:
-        for c in CASE_MODES:
-            rows = postings(docs, g, c).repartitionByRange("term").sortWithinPartitions("term", "doc_id", "sentence_id")
-            rows.write.mode(mode if first else "append").partitionBy("granularity", "case_mode").parquet(f"{path}/postings")
-            first = False
-    docs.write.mode(mode).parquet(f"{path}/docs")
-    lookup_tables(docs, path, mode)
-
-
-def lookup_tables(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sentence to document and year, document to year."""
-    year = F.col("year") if "year" in docs.columns else F.lit(None).cast("string")
-    sentences(docs.select("doc_id", "text")).select("doc_id", "sentence_id").join(docs.select("doc_id", year.alias("year")), "doc_id").write.mode(mode).parquet(f"{path}/sentence_lookup")
-    docs.select("doc_id", year.alias("year")).write.mode(mode).parquet(f"{path}/document_lookup")
-
-
-def read_postings(spark: SparkSession, path: str, granularity: str = "fulltext", case_mode: str = "ci") -> DataFrame:
-    """One index of the four; the others' folders aren't read."""
-    return spark.read.parquet(f"{path}/postings").where((F.col("granularity") == granularity) & (F.col("case_mode") == case_mode))
-
-
-def search_postings(post: DataFrame, words: list[str], n_units: int, lengths: DataFrame) -> DataFrame:
-    """Units with any of the words, scored, from the index alone: the filter on terms reaches the files."""
-    asked = post.where(F.col("term").isin(words))
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    # as many rows as words were asked for
-    scored = asked.join(F.broadcast(df), "term").join(lengths.select("doc_id", "sentence_id", "n_terms"), (asked["doc_id"] == lengths["doc_id"]) & asked["sentence_id"].eqNullSafe(lengths["sentence_id"])).drop(lengths["doc_id"]).drop(lengths["sentence_id"])
-    idf = 1 + F.log(F.lit(n_units) / (F.col("df") + 1))
-    return scored.groupBy("doc_id", "sentence_id").agg(F.sum(F.sqrt(F.col("tf").cast("double")) * idf * idf / F.sqrt(F.col("n_terms").cast("double"))).alias("score"))
+    return post.groupBy("granularity", "case_mode", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def with_ids(docs: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Dense ids from ``start`` in a fixed order, by counts of range partitions: no task sees all rows."""
     ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_m", F.monotonically_increasing_id()).persist()
+    shared_root(docs.sparkSession)
+    numbered = ranged.withColumn("_m", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_m", 33)
     sizes = sorted(tuple(r) for r in numbered.groupBy(part.alias("p")).agg(F.count("*")).collect())
     at, offsets = start, {}
@@ -97,40 +73,152 @@ def delete(docs: DataFrame, ids: list | DataFrame, key: str = "doc_id") -> DataF
 
 
 class Collection:
-    """Documents and sentences in a folder, with an external collection that may be attached."""
+    """Documents, sentences, postings and unit lengths in a folder, with an external collection that may be attached.
+
+    Every change writes only what is new, as a segment of its own, and then one numbered entry of the log, made
+    exclusively: readers see all of a change or nothing, and of two writers for one number the later one fails. Deleted
+    and replaced ids are rows that hide older segments' rows when those are read; ``compact`` rewrites what is left as one
+    segment and ``vacuum`` removes what no entry needs. Postings are sorted by term, so a filter on terms skips most of them.
+
+    :param modes: case modes that are indexed, ``ci`` and ``cs``
+    """
+
+    TABLES = ["docs", "sentences", "postings", "lengths", "deleted"]
+
+    def __init__(self, spark: SparkSession, path: str, stop_words: list[str] | None = None, modes: list[str] | None = None):
+        self.spark, self.path, self.external = spark, path.rstrip("/"), None
+        self.stop_words = DEFAULT_STOP_WORDS if stop_words is None else stop_words
+        self.modes = CASE_MODES if modes is None else modes
+
+    # --- the log
+
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def log(self) -> list[dict]:
+        """Entries from the last one that starts anew: ``n, segment, adds, hides``."""
+        fs, folder = self._folder("log")
+        if not fs.exists(folder):
+            return []
+        rows = self.spark.read.schema("n int, segment string, adds boolean, hides boolean, anew boolean").json(f"{self.path}/log").orderBy("n").collect()
+        first = max((i for i, r in enumerate(rows) if r["anew"]), default=0)
+        return [r.asDict() for r in rows[first:]]
+
+    def _commit(self, segment: str, adds: bool, hides: bool, anew: bool = False) -> None:
+        import json
+
+        entries = self.log()
+        n = entries[-1]["n"] + 1 if entries else 1
+        fs, file = self._folder(f"log/{n:08d}.json")
+        out = fs.create(file, False)  # fails if another writer has made it
+        out.write(bytearray(json.dumps({"n": n, "segment": segment, "adds": adds, "hides": hides, "anew": anew}).encode() + b"\n"))
+        out.close()
+
+    # --- reading
+
+    def _table(self, name: str) -> DataFrame:
+        entries = self.log()
+        added = {e["segment"]: e["n"] for e in entries if e["adds"]}
+        if not added:
+            raise ValueError(f"nothing was added to {self.path}")
+        read = lambda t, segments: self.spark.read.option("basePath", f"{self.path}/{t}").parquet(*(f"{self.path}/{t}/segment={s}" for s in segments))
+        rows = read(name, added)
+        hiding = {e["segment"]: e["n"] for e in entries if e["hides"]}
+        if hiding:
+            number = lambda of: F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("segment")]
+            hidden = read("deleted", hiding).groupBy("doc_id").agg(F.max(number(hiding)).alias("_upto"))
+            rows = rows.withColumn("_n", number(added))
+            rows = rows.join(hidden, rows["doc_id"].eqNullSafe(hidden["doc_id"]) & (rows["_n"] < hidden["_upto"]), "left_anti").drop("_n")
+        return rows.drop("segment")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.external = spark, path, None
+    def docs(self) -> DataFrame:
+        return self._table("docs")
 
-    def _version(self) -> int:
-        try:
-            return self.spark.read.parquet(f"{self.path}/version").agg(F.max("v")).first()[0]
-        except Exception:  # nothing written yet
-            return 0
+    def sentences(self) -> DataFrame:
+        return self._table("sentences")
 
-    def docs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._version()}")
+    def _mode(self, name: str, kind: str, case_sensitive: bool) -> DataFrame:
+        mode = CASE_MODES[case_sensitive]
+        if mode not in self.modes:
+            raise ValueError(f"the collection has no index for case mode {mode}")
+        return self._table(name).where((F.col("granularity") == GRANULARITIES[kind]) & (F.col("case_mode") == mode)).drop("granularity", "case_mode")
+
+    def postings(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
+        """One index of those built; the others' folders aren't read."""
+        return self._mode("postings", kind, case_sensitive)
+
+    def lengths(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
+        return self._mode("lengths", kind, case_sensitive)
 
-    def _put(self, docs: DataFrame) -> None:
-        """A new version beside the old one, then its number: readers never see half of it."""
-        v = self._version() + 1
-        docs.write.parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(v,)], "v int").coalesce(1).write.mode("append").parquet(f"{self.path}/version")
+    def sentence_lookup(self) -> DataFrame:
+        """Sentence to document and year."""
+        return self.sentences().select("doc_id", "sentence_id").join(self.document_lookup(), "doc_id")
+
+    def document_lookup(self) -> DataFrame:
+        docs = self.docs()
+        return docs.select("doc_id", "year" if "year" in docs.columns else F.lit(None).cast("string").alias("year"))
+
+    def by_path(self, path: str) -> DataFrame:
+        return self.docs().where(F.col("filepath") == path).limit(1)
+
+    def by_id(self, doc_id) -> DataFrame:
+        return self.docs().where(F.col("doc_id") == doc_id).limit(1)
+
+    # --- changing
+
+    def _write(self, docs: DataFrame, segment: str) -> None:
+        put = lambda rows, name: rows.write.parquet(f"{self.path}/{name}/segment={segment}")
+        put(docs, "docs")
+        docs = self.spark.read.parquet(f"{self.path}/docs/segment={segment}")
+        put(sentences(docs.select("doc_id", "text")), "sentences")
+        rows = self.spark.read.parquet(f"{self.path}/sentences/segment={segment}")
+        for granularity in GRANULARITIES.values():
+            for mode in self.modes:
+                own = f"{segment}/granularity={granularity}/case_mode={mode}"
+                unit_lengths(docs, granularity, mode, rows, self.stop_words).write.parquet(f"{self.path}/lengths/segment={own}")
+                post = postings(docs, granularity, mode, rows, self.stop_words).drop("granularity", "case_mode")
+                post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "sentence_id").write.parquet(f"{self.path}/postings/segment={own}")
 
     def build(self, docs: DataFrame) -> None:
-        self._put(docs)
+        """Starts anew with these documents."""
+        segment = f"s{uuid.uuid4().hex}"
+        self._write(docs, segment)
+        self._commit(segment, adds=True, hides=False, anew=True)
 
     def add(self, new: DataFrame) -> None:
-        self._put(add(self.docs(), new))
-
-    def remove(self, ids: list) -> bool:
-        """Whether any of the ids was there."""
-        old = self.docs()
-        if old.where(F.col("doc_id").isin(*ids)).isEmpty():
+        """Adds documents; ones that are there already are replaced."""
+        segment, there = f"s{uuid.uuid4().hex}", any(e["adds"] for e in self.log())
+        self._write(new, segment)
+        if there:
+            self.spark.read.parquet(f"{self.path}/docs/segment={segment}").select("doc_id").distinct().write.parquet(f"{self.path}/deleted/segment={segment}")
+        self._commit(segment, adds=True, hides=there)
+
+    def remove(self, ids: list | DataFrame) -> bool:
+        """Whether any of the ids was there; their sentences, postings and lengths go with them."""
+        asked = ids.select("doc_id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        found = self.docs().select("doc_id").join(asked, "doc_id", "left_semi").distinct()
+        segment = f"s{uuid.uuid4().hex}"
+        found.write.parquet(f"{self.path}/deleted/segment={segment}")
+        if self.spark.read.parquet(f"{self.path}/deleted/segment={segment}").isEmpty():
             return False
-        self._put(delete(old, ids))
+        self._commit(segment, adds=False, hides=True)
         return True
 
+    def compact(self) -> None:
+        self.build(self.docs())
+
+    def vacuum(self) -> None:
+        """Deletes the files of segments that no entry in use names. No writer or older reader may be at work."""
+        kept = {f"segment={e['segment']}" for e in self.log()}
+        for name in self.TABLES:
+            fs, folder = self._folder(name)
+            for found in fs.listStatus(folder) if fs.exists(folder) else []:
+                if found.getPath().getName() not in kept:
+                    fs.delete(found.getPath(), True)
+
+    # --- searching
+
     def attach(self, other: Collection) -> None:
         self.external = other
 
@@ -140,15 +228,12 @@ class Collection:
     def has_external(self) -> bool:
         return self.external is not None
 
-    def by_path(self, path: str) -> DataFrame:
-        return self.docs().where(F.col("filepath") == path).limit(1)
-
     def search(self, query, matches_only: bool = False, **kwargs) -> DataFrame:
-        """Hits here and in the attached collection; with ``matches_only`` they are kept for a later call for details."""
+        """Hits here and in the attached collection; ``matches_only`` leaves out what details bring later."""
         from folium.operators.search import federated, search
 
-        hits = federated(query, self.docs(), self.external.docs(), **kwargs) if self.external else search(query, self.docs(), **kwargs)
-        return hits.persist() if matches_only else hits
+        hits = federated(query, self, self.external, **kwargs) if self.external else search(query, collection=self, **kwargs)
+        return hits.drop("year") if matches_only else hits
 
 
 def ordinals(rows: DataFrame, key: str, order: str) -> DataFrame:

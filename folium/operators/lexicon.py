@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import TOKEN_BREAK, running, words
+from folium.session import shared_root
 
 OWN_PREFIX = "pAaCh"
 
@@ -17,10 +18,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
     rounds are cut by checkpoints.
     """
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folium-"))
+    shared_root(spark)
     step = edges.select(F.col("child").alias("category"), F.col("parent").alias("ancestor")).distinct()
     found = fresh = step.checkpoint()
     while True:

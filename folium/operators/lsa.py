@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import normalized, words
+from folium.session import shared_root
 
 
 def token_counts(docs: DataFrame, stop_words: DataFrame | None = None, categories: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,10 +124,7 @@ def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     each round is checkpointed.
     """
     spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folium-"))
+    shared_root(spark)
     edges = symmetric(pairs.where("i <> j")).checkpoint()
     labels = edges.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.col("i")).alias("component")).checkpoint()
     for _ in range(max_rounds):

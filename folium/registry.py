@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folium.functions import text as fx
 from folium.operators import annotate, corpora, details, index, layout, lexicon, lsa, search
 from folium.plans.query import Query
+from folium.session import new_folder
 from folium.sources import bib
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,17 @@ ORACLES: dict[str, str] = {}
 
 _R = "[ \\n\\t''\\\\/()\\[\\]{}:.;,!?]"
 _T = "[.;,!?] |[ \\n\\t''\"/\u2014()\\[\\]{}:]"
-_WORDS = f"w AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(lower(text), '{_R}'), lambda x: x <> '') AS t FROM documents)"
+_STOP = ", ".join(f"'{w}'" for w in fx.DEFAULT_STOP_WORDS)
+
+
+def _terms_sql(source: str, text: str = "text", more: str = "") -> str:
+    """Analyzed terms ``t`` and, with null for stop words, their places ``p``."""
+    found = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+(?:[''.][\\p{{L}}\\p{{N}}]+)*'), lambda x: CASE WHEN x IN ({_STOP}) OR length(x) > 255 THEN NULL ELSE x END)"
+    return f"(SELECT *, list_filter(p, lambda x: x IS NOT NULL) AS t FROM (SELECT *{more}, {found} AS p FROM {source}))"
+
+
+_FIELDS = ", 'A' || (doc_id % 7) || ' ' || source AS author, source || ' Letters ' || (doc_id % 5) AS journal, CASE doc_id % 3 WHEN 0 THEN 'review' ELSE 'research-article' END AS type"
+_WORDS = f"w AS (SELECT doc_id, lang, source, author, journal, type, p, t FROM {_terms_sql('documents', more=_FIELDS)})"
 _SPREAD = f"s AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{_R}')) AS word FROM documents)"
 
 
@@ -43,6 +54,30 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "text", F.array("lang", "source").alias("corpora"))
 
 
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with bibliographic fields made from their numbers; an order's date gives the year."""
+    years = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("year"))
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    fields = {
+        "corpora": F.array("lang", "source"),
+        "author": F.concat(F.lit("A"), number(7), F.lit(" "), F.col("source")),
+        "journal": F.concat(F.col("source"), F.lit(" Letters "), number(5)),
+        "type": F.when(F.col("doc_id") % 3 == 0, "review").otherwise("research-article"),
+        "accession": F.concat(F.lit(" PMID:"), F.col("doc_id").cast("string"), F.lit(" WBPaper"), (F.col("doc_id") * 3).cast("string")),
+    }
+    return _t(spark, sf_dir, "documents").select("doc_id", "text", *(c.alias(n) for n, c in fields.items())).join(years, "doc_id", "left")
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> index.Collection:
+    """The stored index of a folder's documents, built by the first query that needs it in a session."""
+    known = spark.sparkContext.__dict__.setdefault("_folium_collections", {})
+    if sf_dir not in known:
+        made = index.Collection(spark, new_folder(spark, "collection"))
+        made.build(_papers(spark, sf_dir))
+        known[sf_dir] = made
+    return known[sf_dir]
+
+
 # --- words and text -------------------------------------------------------------------------------------------------
 
 
@@ -130,114 +165,151 @@ _DOC = "SELECT doc_id AS identifier, round(score, 6) AS score FROM h"
 
 
 def _hits(q: Query, spark, sf_dir, **kw) -> DataFrame:
-    return search.search(q, kw.pop("docs", None) or _docs(spark, sf_dir), **kw).select("identifier", _r("score").alias("score"))
+    return search.search(q, collection=_collection(spark, sf_dir), **kw).select("identifier", _r("score").alias("score"))
 
 
-@query(_search_sql({"a": _tf("the"), "b": _tf("er")}, "a > 0 OR b > 0", ["a", "b"]) + _DOC)
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"]) + _DOC)
 def doc_search_tfidf(spark, sf_dir):
-    return _hits(Query(keyword="the er", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="er ing", corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("with"), "b": _tf("are")}, "a > 0 AND b > 0", ["a", "b"]) + _DOC)
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"]) + _DOC)
+def doc_search_without_index(spark, sf_dir):
+    """The same search over plain texts."""
+    return search.search(Query(keyword="er the ing", corpora=["en"]), _docs(spark, sf_dir)).select("identifier", _r("score").alias("score"))
+
+
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 AND b > 0", ["a", "b"]) + _DOC)
 def doc_search_and(spark, sf_dir):
-    return _hits(Query(keyword="with AND are", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="er AND ing", corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("with"), "b": _tf("are"), "d": _tf("der")}, "a > 0 OR b > 0 OR d > 0", ["a", "b", "d"], restrict="(lang = 'en' OR lang = 'de')") + _DOC)
+@query(_search_sql({"a": _tf("ing"), "b": _tf("tion"), "d": _tf("der")}, "a > 0 OR b > 0 OR d > 0", ["a", "b", "d"], restrict="(lang = 'en' OR lang = 'de')") + _DOC)
 def doc_search_or(spark, sf_dir):
-    return _hits(Query(keyword="with OR are OR der", corpora=["en", "de"]), spark, sf_dir)
+    return _hits(Query(keyword="ing OR tion OR der", corpora=["en", "de"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("the"), "b": _tf("with")}, "a > 0 AND b = 0", ["a"]) + _DOC)
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 AND b = 0", ["a"]) + _DOC)
 def doc_search_not(spark, sf_dir):
-    return _hits(Query(keyword="the -with", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="er -ing", corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("the"), "b": _tf("with")}, "a > 0 AND b = 0", ["a"]) + _DOC)
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 AND b = 0", ["a"]) + _DOC)
 def doc_search_exclude(spark, sf_dir):
-    return _hits(Query(keyword="the", exclude_keyword="with", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="er", exclude_keyword="ing", corpora=["en"]), spark, sf_dir)
+
+
+@query(_search_sql({"a": _tf("er")}, "a = 0", []) + "SELECT doc_id AS identifier, 1.0::DOUBLE AS score FROM h")
+def doc_search_exclude_only(spark, sf_dir):
+    return _hits(Query(exclude_keyword="er", corpora=["en"]), spark, sf_dir)
+
+
+@query(_search_sql({"a": _tf("er")}, "a > 0", ["a"]) + _DOC)
+def doc_search_stop_words(spark, sf_dir):
+    """Stop words are neither found nor excluded: their clauses vanish."""
+    return _hits(Query(keyword="the AND er -with", corpora=["en"]), spark, sf_dir)
 
 
-_PHRASE = "len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))"
+def _phrase_sql(*places: tuple[int, str]) -> str:
+    return f"len(list_filter(range(1, len(p) - {places[-1][0]} + 1), lambda i: " + " AND ".join(f"coalesce(p[i + {k}] = '{w}', false)" for k, w in places) + "))"
 
 
-@query(_search_sql({"a": _PHRASE}, "a > 0", ["a"]) + _DOC)
+@query(_search_sql({"a": _phrase_sql((0, "anea"), (1, "eriner"))}, "a > 0", ["a"]) + _DOC)
 def doc_search_phrase(spark, sf_dir):
-    return _hits(Query(keyword='"of the"', corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword='"anea eriner"', corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": "len(list_filter(t, lambda x: regexp_full_match(x, 'thing.*')))", "b": _tf("by")}, "a > 0 AND b > 0", ["b"], more=" + 1") + _DOC)
+@query(_search_sql({"a": _phrase_sql((0, "attion"), (2, "thanedble"))}, "a > 0", ["a"]) + _DOC)
+def doc_search_phrase_with_stop_word(spark, sf_dir):
+    return _hits(Query(keyword='"attion to thanedble"', corpora=["en"]), spark, sf_dir)
+
+
+@query(_search_sql({"a": "len(list_filter(t, lambda x: regexp_full_match(x, 'thing.*')))", "b": _tf("er")}, "a > 0 AND b > 0", ["b"], more=" + 1") + _DOC)
 def doc_search_wildcard(spark, sf_dir):
-    return _hits(Query(keyword="thing* AND by", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="thing* AND er", corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("the"), "b": _tf("by"), "d": _tf("is")}, "a > 0 AND (b > 0 OR d > 0)", ["a", "b", "d"], more="") + _DOC)
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing"), "d": _tf("tion")}, "a > 0 AND (b > 0 OR d > 0)", ["a", "b", "d"], more="") + _DOC)
 def doc_search_grouped(spark, sf_dir):
-    return _hits(Query(keyword="the AND (by OR is)", corpora=["en"]), spark, sf_dir)
+    return _hits(Query(keyword="er AND (ing OR tion)", corpora=["en"]), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("The"), "b": _tf("Of")}, "a > 0 OR b > 0", ["a", "b"]).replace("lower(text)", "text") + _DOC)
+@query(_search_sql({"a": _tf("Er"), "b": _tf("The")}, "a > 0 OR b > 0", ["a", "b"]).replace("lower(text)", "text") + _DOC)
 def doc_search_case_sensitive(spark, sf_dir):
-    return _hits(Query(keyword="The Of", corpora=["en"], case_sensitive=True), spark, sf_dir)
+    return _hits(Query(keyword="Er The the", corpora=["en"], case_sensitive=True), spark, sf_dir)
 
 
-@query(_search_sql({"a": _tf("the")}, "a > 0", ["a"], restrict="lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)") + _DOC)
+@query(_search_sql({"a": _tf("er")}, "a > 0", ["a"], restrict="lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)") + _DOC)
 def doc_search_by_ids(spark, sf_dir):
-    return _hits(Query(keyword="the", corpora=["en"]), spark, sf_dir, doc_ids=_t(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return _hits(Query(keyword="er", corpora=["en"]), spark, sf_dir, doc_ids=_t(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
-def _dated(spark, sf_dir) -> DataFrame:
-    years = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("year"))
-    return _docs(spark, sf_dir).join(years, "doc_id", "left")
+_DATED = "doc_id IN (SELECT o_orderkey FROM orders WHERE {})"
+for _name, _ask, _where in (
+    ("year", {"year": "1996"}, _DATED.format("year(o_orderdate) = 1996")),
+    ("month", {"year": '"1996-01"'}, _DATED.format("strftime(o_orderdate, '%Y-%m') = '1996-01'")),
+    ("accession", {"accession": "WBPaper36 17 wbpaper9 nothing"}, "doc_id IN (12, 17, 3)"),
+    ("type", {"paper_type": "review"}, "type = 'review'"),
+    ("author", {"author": "a3 OR a5"}, "doc_id % 7 IN (3, 5)"),
+    ("exact_author", {"author": '"a3 src3"', "exact_author": True}, "author = 'A3 src3'"),
+    ("journal", {"journal": "letters AND 2"}, "doc_id % 5 = 2"),
+    ("exact_journal", {"journal": "Src7 Letters 2", "exact_journal": True}, "journal = 'src7 Letters 2'"),
+):
+
+    def _by_field(spark, sf_dir, ask=_ask):
+        return _hits(Query(keyword="er", corpora=["en"], **ask), spark, sf_dir)
 
+    _by_field.__name__ = f"doc_search_{_name}"
+    query(_search_sql({"a": _tf("er")}, "a > 0", ["a"], restrict=f"lang = 'en' AND {_where}") + _DOC)(_by_field)
 
-@query(_search_sql({"a": _tf("the")}, "a > 0", ["a"]) + "SELECT doc_id AS identifier, round(score, 6) AS score, strftime(o_orderdate, '%Y-%m') AS year, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m') DESC NULLS LAST, round(score, 9) DESC, doc_id) AS place FROM h LEFT JOIN orders ON o_orderkey = doc_id")
+
+@query(_search_sql({"a": _tf("er")}, "a > 0", ["a"]) + "SELECT doc_id AS identifier, round(score, 6) AS score, strftime(o_orderdate, '%Y-%m') AS year, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m') DESC NULLS LAST, round(score, 9) DESC, doc_id) AS place FROM h LEFT JOIN orders ON o_orderkey = doc_id")
 def doc_search_by_year_sort(spark, sf_dir):
-    hits = search.search(Query(keyword="the", corpora=["en"], sort_by_year=True), _dated(spark, sf_dir))
+    hits = search.search(Query(keyword="er", corpora=["en"], sort_by_year=True), collection=_collection(spark, sf_dir))
     # the place is shown to compare orders; a column of it needs the rows in one order
     return index.with_ids(hits.withColumn("y", F.coalesce("year", F.lit(""))).withColumn("ny", F.expr("translate(y, '0123456789', '9876543210')")).withColumn("ny", F.when(F.col("year").isNull(), F.lit("~")).otherwise(F.col("ny"))).withColumn("ns", -F.round("score", 9)), ["ny", "ns", "identifier"], 1).select("identifier", _r("score").alias("score"), "year", F.col("id").alias("place"))
 
 
-_SENT_UNITS = f", {_SENTENCES}, u AS (SELECT sent.doc_id, sentence_id, lang, list_filter(regexp_split_to_array(lower(sentence), '{_R}'), lambda x: x <> '') AS t FROM sent JOIN documents USING (doc_id))"
-_SENT_SQL = _search_sql({"a": _tf("with"), "b": _tf("by")}, "a > 0 OR b > 0", ["a", "b"], "u", extra=_SENT_UNITS)
+_SENT_UNITS = f", {_SENTENCES}, u AS (SELECT doc_id, sentence_id, lang, p, t FROM {_terms_sql('(SELECT sent.*, lang FROM sent JOIN documents USING (doc_id))', 'sentence')})"
+_SENT_SQL = _search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"], "u", extra=_SENT_UNITS)
 
 
 def _sentence_query() -> Query:
-    return Query(kind="sentence", keyword="with by", corpora=["en"])
+    return Query(kind="sentence", keyword="er ing", corpora=["en"])
 
 
 @query(_SENT_SQL + "SELECT doc_id AS identifier, round(sum(score), 6) AS score, count(*) AS n_sentences, min(sentence_id) AS first_sentence FROM h GROUP BY doc_id")
 def sentence_search_grouped(spark, sf_dir):
-    h = search.search(_sentence_query(), _docs(spark, sf_dir))
+    h = search.search(_sentence_query(), collection=_collection(spark, sf_dir))
     return h.select("identifier", _r("score").alias("score"), F.size("matching_sentences").cast("long").alias("n_sentences"), F.array_min(F.transform("matching_sentences", lambda s: s["sentence_id"])).alias("first_sentence"))
 
 
 @query(_SENT_SQL + ", g AS (SELECT doc_id, sum(score) AS score, count(*) AS n FROM h GROUP BY doc_id) SELECT count(*) AS n_hits, CAST(sum(n) AS BIGINT) AS n_sentences, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM g")
 def score_bounds(spark, sf_dir):
-    s = search.summary(search.search(_sentence_query(), _docs(spark, sf_dir)))
+    s = search.summary(search.search(_sentence_query(), collection=_collection(spark, sf_dir)))
     return s.select("n_hits", "n_sentences", _r("max_score").alias("max_score"), _r("min_score").alias("min_score"))
 
 
-@query(_search_sql({"a": _tf("the")}, "a > 0", ["a"]) + "SELECT h.doc_id, round(score, 6) AS score, d.source AS journal, '2020' AS year, md5(regexp_replace(regexp_replace(" + _F1.replace("html", "text") + ", '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS text FROM h JOIN documents d USING (doc_id)")
+@query(_search_sql({"a": _tf("er")}, "a > 0", ["a"]) + "SELECT h.doc_id, round(score, 6) AS score, d.source AS journal, '2020' AS year, md5(regexp_replace(regexp_replace(" + _F1.replace("html", "text") + ", '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS text FROM h JOIN documents d USING (doc_id)")
 def doc_details(spark, sf_dir):
-    h = search.search(Query(keyword="the", corpora=["en"]), _docs(spark, sf_dir))
+    h = search.search(Query(keyword="er", corpora=["en"]), collection=_collection(spark, sf_dir))
     d = _t(spark, sf_dir, "documents").withColumnRenamed("source", "journal").withColumn("year", F.lit("2020"))
     return details.details(h, d, include=["text", "journal"], exclude=["abstract"], remove_tags=True, remove_newlines=True).select("doc_id", _r("score").alias("score"), "journal", "year", F.md5("text").alias("text"))
 
 
 @query(_SENT_SQL + "SELECT h.doc_id, h.sentence_id, round(score, 6) AS score, sentence, \"begin\", \"end\" FROM h JOIN sent USING (doc_id, sentence_id)")
 def doc_details_with_sentences(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    rows = annotate.sentences(docs)
-    out = details.details(search.search(_sentence_query(), docs, sentence_rows=rows), docs.withColumn("year", F.lit(None).cast("string")), rows, include=["corpora"])
+    stored = _collection(spark, sf_dir)
+    docs, rows = stored.docs(), stored.sentences()
+    out = details.details(search.search(_sentence_query(), collection=stored), docs, rows, include=["corpora"])
     return out.select("doc_id", F.explode("matching").alias("m")).select("doc_id", "m.sentence_id", _r("m.score").alias("score"), "m.sentence", "m.begin", "m.end")
 
 
 @query(_SENT_SQL + "SELECT doc_id, count(*) AS n, CAST(sum(\"end\" - \"begin\") AS BIGINT) AS chars, md5(string_agg(sentence, '|' ORDER BY sentence_id)) AS h FROM sent WHERE doc_id IN (SELECT doc_id FROM h) GROUP BY doc_id")
 def doc_all_sentences(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    rows = annotate.sentences(docs)
-    out = details.details(search.search(_sentence_query(), docs, sentence_rows=rows), docs.withColumn("year", F.lit(None).cast("string")), rows, include=["corpora"], all_sentences=True)
+    stored = _collection(spark, sf_dir)
+    docs, rows = stored.docs(), stored.sentences()
+    out = details.details(search.search(_sentence_query(), collection=stored), docs, rows, include=["corpora"], all_sentences=True)
     a = F.col("all_sentences")
     return out.select("doc_id", F.size(a).cast("long").alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]).alias("chars"), F.md5(F.array_join(F.transform(a, lambda x: x["sentence"]), "|")).alias("h"))
 
@@ -247,16 +319,16 @@ def field_projection(spark, sf_dir):
     return details.project(_t(spark, sf_dir, "documents"), ["lang", "n_chars", "text"], ["text"], ["doc_id"])
 
 
-@query(_search_sql({"a": _tf("the"), "b": _tf("with")}, "a > 0 OR b > 0", ["a", "b"], restrict="true") + "SELECT doc_id AS identifier, round(score, 6) AS score, 'main' AS document_type FROM h UNION ALL SELECT conv_id * 1000 + turn, round(score, 6), 'external' FROM h2")
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"], restrict="true") + "SELECT doc_id AS identifier, round(score, 6) AS score, 'main' AS document_type FROM h UNION ALL SELECT conv_id * 1000 + turn, round(score, 6), 'external' FROM h2")
 def union_external(spark, sf_dir):
     one = _docs(spark, sf_dir).withColumn("corpora", F.array(F.lit("all")))
     two = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.array(F.lit("all")).alias("corpora"))
-    return search.federated(Query(keyword="the with", corpora=["all"]), one, two).select("identifier", _r("score").alias("score"), "document_type")
+    return search.federated(Query(keyword="er ing", corpora=["all"]), one, two).select("identifier", _r("score").alias("score"), "document_type")
 
 
-_SECOND = _search_sql({"a": _tf("the"), "b": _tf("with")}, "a > 0 OR b > 0", ["a", "b"], "w2", "true").split(", c AS", 1)[1]
+_SECOND = _search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"], "w2", "true").split(", c AS", 1)[1]
 ORACLES["union_external"] = ORACLES["union_external"].replace(
-    "SELECT doc_id AS identifier", f", w2 AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '{_R}'), lambda x: x <> '') AS t FROM conversations), c2 AS" + _SECOND.replace(" FROM c)", " FROM c2)").replace("f AS (", "f2 AS (").replace("h AS (SELECT c.*", "h2 AS (SELECT c2.*").replace("FROM c, f ", "FROM c2, f2 ").rstrip() + " SELECT doc_id AS identifier", 1
+    "SELECT doc_id AS identifier", f", w2 AS (SELECT conv_id, turn, t FROM {_terms_sql('conversations')}), c2 AS" + _SECOND.replace(" FROM c)", " FROM c2)").replace("f AS (", "f2 AS (").replace("h AS (SELECT c.*", "h2 AS (SELECT c2.*").replace("FROM c, f ", "FROM c2, f2 ").rstrip() + " SELECT doc_id AS identifier", 1
 )
 
 
@@ -266,11 +338,36 @@ def postings_stats(spark, sf_dir):
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query(_search_sql({"a": _tf("that"), "b": _tf("this")}, "a > 0 OR b > 0", ["a", "b"], restrict="true") + "SELECT doc_id, round(score, 6) AS score FROM h")
+@query(_search_sql({"a": _tf("thing"), "b": _tf("thble")}, "a > 0 OR b > 0", ["a", "b"], restrict="true") + "SELECT doc_id, round(score, 6) AS score FROM h")
 def index_search(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    post = index.postings(docs)
-    return index.search_postings(post, ["that", "this"], docs.count(), index.unit_stats(post)).select("doc_id", _r("score").alias("score"))
+    q = Query(keyword="thing thble", corpora=["en", "de", "fr", "es"])
+    return search.search(q, collection=_collection(spark, sf_dir)).select(F.col("identifier").alias("doc_id"), _r("score").alias("score"))
+
+
+def _changed_collection(spark, sf_dir) -> index.Collection:
+    """A collection of its own that lost the toxic documents and got the benchmark's passages, some in place of documents."""
+    c = index.Collection(spark, new_folder(spark, "changed"), modes=["ci"])
+    c.build(_docs(spark, sf_dir))
+    c.remove(_t(spark, sf_dir, "labels").where("toxic = 1"))
+    c.add(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.array(F.lit("en")).alias("corpora")))
+    return c
+
+
+_CHANGED = "documents AS (SELECT doc_id, text, lang, '' AS source FROM main.documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text, 'en', '' FROM benchmark)"
+
+
+@query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"]).replace("WITH ", f"WITH {_CHANGED}, ", 1) + _DOC)
+def changed_index_search(spark, sf_dir):
+    q = Query(keyword="er ing", corpora=["en"])
+    return search.search(q, collection=_changed_collection(spark, sf_dir)).select("identifier", _r("score").alias("score"))
+
+
+@query(f"WITH {_CHANGED}, {_SENTENCES} SELECT doc_id, count(*) AS n, md5(string_agg(sentence, '|' ORDER BY sentence_id)) AS h FROM sent GROUP BY doc_id")
+def changed_index_sentences(spark, sf_dir):
+    c = _changed_collection(spark, sf_dir)
+    c.compact()
+    c.vacuum()
+    return c.sentences().groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "sentence"))), lambda s: s["sentence"]), "|")).alias("h"))
 
 
 # --- maintenance ---------------------------------------------------------------------------------------------------

@@ -149,8 +149,8 @@ def test_sentence_hits_and_summary(papers):
 
 def test_a_search_returns_all_hits_unless_asked_for_the_first(spark, papers):
     n = 1_000_003
-    many = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("the").alias("text"), F.array(F.lit("en")).alias("corpora"))
-    assert search.summary(search.search(Query(keyword="the", corpora=["en"]), many)).first()["n_hits"] == n
+    many = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("fish").alias("text"), F.array(F.lit("en")).alias("corpora"))
+    assert search.summary(search.search(Query(keyword="fish", corpora=["en"]), many)).first()["n_hits"] == n
     q = Query(keyword="dna binding", corpora=["C. elegans"])
     every = [r["identifier"] for r in search.search(q, papers).collect()]
     assert len(every) == 2 and [r["identifier"] for r in search.search(q, papers, limit=1).collect()] == every[:1]
@@ -194,19 +194,58 @@ def test_collection(spark, papers, tmp_path):
     assert {(r["identifier"], r["document_type"]) for r in a.search(q).collect()} == {(1, "main"), (3, "external")}
     a.detach()
     assert not a.remove([99]) and a.remove([1]) and a.docs().count() == 1
+    assert a.search(q).isEmpty() and a.postings().where("doc_id = 1").isEmpty() and a.sentence_lookup().where("doc_id = 1").isEmpty()
     a.add(papers.where("doc_id = 1"))
     assert [r["identifier"] for r in a.search(q).collect()] == [1]
+    a.add(papers.where("doc_id = 1").withColumn("text", F.lit("now about worms only.")))
+    assert a.search(q).isEmpty() and [r["identifier"] for r in a.search(Query(keyword="worms", corpora=["C. elegans"])).collect()] == [1]
+    before = sorted(map(tuple, a.postings().select("doc_id", "term", "tf").collect()))
+    a.compact()
+    a.vacuum()
+    assert sorted(map(tuple, a.postings().select("doc_id", "term", "tf").collect())) == before and len(a.log()) == 1
+    assert len(list((tmp_path / "a" / "docs").glob("segment=*"))) == 1
+    with pytest.raises(ValueError):
+        index.Collection(spark, f"file://{tmp_path}/none").docs()
+
+
+def test_two_writers_of_one_number(spark, papers, tmp_path, monkeypatch):
+    c = index.Collection(spark, f"file://{tmp_path}/c", modes=["ci"])
+    c.build(papers)
+    old = c.log()
+    c.remove([1])
+    monkeypatch.setattr(c, "log", lambda: old)
+    with pytest.raises(Exception, match="exists"):
+        c._commit("s0", adds=False, hides=True)
 
 
-def test_written_index_is_pruned_and_scores_alike(spark, papers, tmp_path):
-    docs = papers.select("doc_id", "text", "year")
-    index.write_index(docs, f"file://{tmp_path}/i")
-    post = index.read_postings(spark, f"file://{tmp_path}/i")
-    assert "PartitionFilters: [isnotnull(granularity" in post._jdf.queryExecution().executedPlan().toString()
-    got = {r["doc_id"]: r["score"] for r in index.search_postings(post, ["dna"], 3, index.unit_stats(post)).collect()}
-    direct = {r["identifier"]: r["score"] for r in search.search(Query(keyword="dna", corpora=["C. elegans", "S. cerevisiae"]), papers).collect()}
-    assert got == pytest.approx(direct)
-    assert spark.read.parquet(f"file://{tmp_path}/i/sentence_lookup").count() == 5
+@pytest.mark.parametrize(
+    "ask",
+    [
+        {"keyword": "dna binding"}, {"keyword": "DNA AND Binding"}, {"keyword": '"binding of dyn"'}, {"keyword": "bind* OR yeast"}, {"keyword": "dna -yeast"}, {"exclude_keyword": "yeast"}, {"keyword": "DNA", "case_sensitive": True},
+        {"keyword": "the of"}, {"keyword": "dna", "exclude_keyword": "the"}, {"keyword": "(dna OR worms) AND NOT again"}, {"keyword": "DYN-1"}, {"keyword": "dna", "kind": "sentence"}, {"exclude_keyword": "dna", "kind": "sentence"}, {"keyword": "dna again", "coord": True},
+    ],
+)
+def test_stored_and_plain_search_agree(spark, papers, tmp_path_factory, ask):
+    c = index.Collection(spark, "file://" + str(tmp_path_factory.getbasetemp() / "stored"))
+    if not c.log():
+        c.build(papers)
+    q = Query(**({"corpora": ["C. elegans", "S. cerevisiae"]} | ask))
+    rows = lambda hits: [(r["identifier"], round(r["score"], 9), r["year"], [x["sentence_id"] for x in r["matching_sentences"]] if q.kind == "sentence" else None) for r in hits.collect()]
+    stored = rows(search.search(q, collection=c))
+    assert stored == rows(search.search(q, papers))
+    assert bool(stored) == (q.keyword != "the of")
+
+
+def test_term_filters_reach_the_files(spark, papers, tmp_path):
+    c = index.Collection(spark, f"file://{tmp_path}/i")
+    c.build(papers)
+    hits = search.search(Query(keyword="dna OR bind*", corpora=["C. elegans"]), collection=c)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    scans = [p for p in plan.split("\n\n") if "Scan parquet" in p]
+    terms = [p for p in scans if "positions" in p or "tf:int" in p]
+    assert terms and all("EqualTo(term,dna)" in p and "StringStartsWith(term,bind)" in p and "PartitionFilters: [isnotnull(granularity" in p for p in terms)
+    assert not any("text:string" in p for p in scans)
+    assert c.sentence_lookup().count() == 5
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
