@@ -89,10 +89,13 @@ def records(pages: DataFrame) -> DataFrame:
     return joined.select(F.explode(three).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None, records_per_file: int = 6000) -> str:
-    """Write ``pages`` as gzipped WARC files of at most ``records_per_file`` records; returns their folder."""
+def write_archives(pages: DataFrame, path: str | None = None, records_per_file: int = 6000, bytes_per_file: int = 1 << 28) -> str:
+    """Write ``pages`` as gzipped WARC files of at most ``records_per_file`` records, fewer where pages are large on average
+    (about ``bytes_per_file`` before compression, as a file is read back whole); returns their folder."""
     path = path or new_folder(pages.sparkSession, "warc")
-    (records(pages).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path))
+    mean = pages.agg(F.avg(F.octet_length(text_column("html")))).first()[0] or 0
+    limit = max(3, min(records_per_file, int(3 * bytes_per_file / (mean + 1500))))
+    (records(pages).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", limit).text(path))
     return path
 
 
@@ -153,7 +156,8 @@ def assemble(found: DataFrame) -> DataFrame:
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '(?m)^page-id: ([0-9-]+)', 1) AS bigint)")
     one = answers.join(asked, "record_id", "left").join(facts, "record_id", "left").withColumn("page_id", page("metadata.head"))
     first = one.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page"), F.col("payload_bytes").alias("bytes2"), F.col("payload_digest").alias("digest2"))
-    whole = one.join(first, "refers_to", "left")
+    # a response refers to nothing: a key of its own, which no record has, keeps such rows from meeting in one task
+    whole = one.withColumn("asked", F.coalesce("refers_to", F.concat(F.lit("-"), "record_id"))).join(first.withColumnRenamed("refers_to", "asked"), "asked", "left")
     response = F.struct("declared", "head", "payload", F.coalesce("payload_bytes", "bytes2").alias("payload_bytes"), F.coalesce("payload_digest", "digest2").alias("payload_digest"))
     return whole.select("record_id", "page_id", "url", "kind", "refers_to", "refers_to_page", "request", response.alias("response"), "metadata")
 
