@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm._io import materialize, new_folder, text_column
+from folium.llm._io import drop_folder, materialize, new_folder, text_column
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,17 +32,25 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent set of digests, ``digest binary, doc_id long``, bucketed and sorted by ``digest``."""
+    """A persistent set of digests, ``digest binary, doc_id long``, bucketed and sorted by ``digest``.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+    A new index has as many buckets as a shuffle has partitions, so a batch reduced by digest meets it as it lies.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or new_folder(spark, "index")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, doc_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, doc_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Forgets the table and deletes its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_folder(self.spark, self.path)
+
     def fresh(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch``, one for each digest, whose digest the index lacks."""
         return batch.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
@@ -61,7 +69,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, row: str | No
     spark = docs.sparkSession
     rid = F.col(row) if row else F.monotonically_increasing_id()
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(text_column()).alias("digest"), rid.alias("rid")), "digests")
-    index = index or DigestIndex(spark)
+    own = index is None
+    index = DigestIndex(spark) if own else index
     # the row that stays: largest doc_id, of repeated rows the last
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), F.col("rid")))["rid"].alias("keep_rid"), F.count("*").alias("group_size"))
     fresh = materialize(index.fresh(groups), "fresh")
@@ -69,6 +78,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, row: str | No
     known = fresh.select("digest", F.col("doc_id").alias("keep_id"), "keep_rid", "group_size").unionByName(held.select("digest", F.col("doc_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_rid"), "group_size"))
     known = materialize(known, "known")
     index.add(fresh)
+    if own:  # an index for this call alone
+        index.drop()
     out = rows.join(known, "digest").select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), "rid")
     return out if row else out.drop("rid")
 
