@@ -7,7 +7,8 @@ driver, with at most ``max_docs`` labelled documents, the ones with the least ha
 than ``max_passages`` passages. Scoring reads every document whole.
 
 Defined results: null or empty text is a bag of one empty passage; labels that are null, conflicting (the
-larger quality holds) or held out take no part in training; with no label of either class left to learn from,
+larger quality holds) or held out take no part in training; of repeated ids with different texts the one
+with the least hash is learned from; with no label of either class left to learn from,
 the score is the labels' mean, 1 if there is none; other columns are ignored.
 """
 
@@ -134,13 +135,14 @@ class AttentionModel:
         if len(set(label.tolist())) < 2:
             self.constant = float(label[0]) if len(label) else 1.0
             return self
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, start = self.scale(x), np.cumsum(n) - n
+        self.mean = x.mean(axis=0, dtype=np.float64)
+        self.spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - self.mean**2, 0)) + 1e-3
+        start = np.cumsum(n) - n
         rng, m, v = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         for step in range(1, steps + 1):
             pick = rng.choice(len(n), min(batch, len(n)), replace=False)
             rows = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in pick])
-            for k, d in self.gradients(x[rows], n[pick], label[pick]).items():
+            for k, d in self.gradients(self.scale(x[rows]), n[pick], label[pick]).items():
                 d = d + decay * self.p[k] * (k not in "bd")
                 m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
                 self.p[k] = self.p[k] - rate * (1 - 0.9 * step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -161,17 +163,20 @@ def _encoded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(y[a:z], pa.int32()), pa.array(n), pa.array(data, pa.binary())], names=["y", "n", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 256) -> AttentionModel:
-    """Learn from ``labels(doc_id, quality)`` that aren't held out and the texts of ``docs(doc_id, text)``."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 64) -> AttentionModel:
+    """Learn from ``labels(doc_id, quality)`` that aren't held out and the texts of ``docs(doc_id, text)``.
+
+    At most ``max_docs * max_passages`` passages of 4 * ``WIDTH`` bytes come to the driver (134 MB), which holds up to three copies.
+    """
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most ``max_docs`` rows of two numbers: small enough to broadcast whatever the tables' size
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
-    bags = bags.where(F.octet_length("text") <= PASSAGE * max_passages).select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    bags = bags.where(F.octet_length("text") <= PASSAGE * max_passages).groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     rows = bags.select("quality", "text").mapInArrow(_encoded, "y int, n long, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
     n, y = rows.column("n").to_numpy(), rows.column("y").to_numpy().astype(np.float64)
     # rows come in no fixed order
     start = np.cumsum(n) - n
