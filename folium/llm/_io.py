@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,28 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.session import ship
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary folder, set once."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_folium_root", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="folium-")
-        spark.sparkContext._folium_root = root
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared root, deleted when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/folium-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from folium.session import new_folder, ship
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -35,8 +35,8 @@ def _fraction(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def _share(doc_id: Column, shares: int) -> Column:
-    text = F.concat(F.lit("share:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def _share(doc_id: Column, tie: Column, shares: int) -> Column:
+    text = F.concat(F.lit("share:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), tie.cast("string"))))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(shares))
 
 
@@ -67,13 +67,14 @@ _KEY = ["s", "unknown", "level", "share"]
 
 
 def copies(sized: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size`` with any other columns to the same with ``source_size, target, copies``.
+    """``doc_id, source, size, tie`` with any other columns to the same with ``source_size, target, copies``; ``tie``, a hash of the
+    text, orders rows that are alike in the others, so that reruns agree.
 
     ``cap``: most copies of a document and of its source's size; ``seed``: another gives other offsets.
     """
     s = materialize(sized.select("*", F.length(F.bin("size")).alias("level"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("unknown")), "sized")
     shares = max(SHARES, -(-s.count() // ROWS_A_SHARE))
-    s = s.withColumn("share", _share(F.col("doc_id"), shares))
+    s = s.withColumn("share", _share(F.col("doc_id"), F.col("tie"), shares))
     groups = materialize(s.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("size").alias("group_size")), "groups")
     sources = groups.groupBy("s", "unknown").agg(F.sum("group_size").alias("source_size"))
     goal = targets(sources.select(F.when(~F.col("unknown"), F.col("s")).alias("source"), "source_size"), cap)
@@ -91,7 +92,7 @@ def copies(sized: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
     order = Window.partitionBy("s", "unknown", "large").orderBy(F.desc("level"), F.col("share")).rowsBetween(Window.unboundedPreceding, 0)
     groups = materialize(groups.withColumn("before", F.sum("n").over(order) - F.col("n")), "ordered")
 
-    large = _ranked(s.select("doc_id", "size", *_KEY).join(groups.where("large"), _KEY))
+    large = _ranked(s.select("doc_id", "size", "tie", *_KEY).join(groups.where("large"), _KEY))
     spent = large.groupBy("s", "unknown").agg(F.sum(F.col("size") * _crossed("rate", cap)).alias("spent"))
     held = groups.where("large").groupBy("s", "unknown").agg(F.sum("group_size").alias("held"))
     rest = materialize(spent.join(held, ["s", "unknown"]), "spent")
@@ -105,7 +106,7 @@ def copies(sized: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*_KEY).orderBy(F.desc("size"), F.col("doc_id"))
+    order = Window.partitionBy(*_KEY).orderBy(F.desc("size"), F.col("doc_id"), F.col("tie"))
     return rows.withColumn("rank", F.col("before") + F.row_number().over(order))
 
 
@@ -117,7 +118,7 @@ def _crossed(rate: str, cap: int) -> Column:
 
 def mix(docs: DataFrame, cap: int = 3, seed: str = "mix") -> DataFrame:
     """Per document of ``docs(doc_id, source, text)``: ``doc_id, size, source_size, target, taken, copies``."""
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text_column()).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text_column()).alias("size"), F.xxhash64(text_column()).alias("tie"))
     return copies(sized, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
