@@ -58,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents as often as the mix takes them."""
     rows, row = _numbered(docs)
     times = _free(docs, "times")
-    sized = rows.select("doc_id", "source", mixing.word_count(text_column()).alias("size"), F.col(row).alias("rid"))
+    sized = rows.select("doc_id", "source", mixing.word_count(text_column()).alias("size"), F.xxhash64(text_column()).alias("tie"), F.col(row).alias("rid"))
     taken = mixing.copies(sized).where("copies > 0").select(F.col("rid").alias(row), F.expr("sequence(1, copies)").alias(times))
     return rows.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
 
