@@ -179,16 +179,37 @@ def layout_tag(tag: Column) -> Column:
     return F.struct(F.trim(F.split(inner, "=", 2)[0]).alias("tagtype"), F.coalesce(F.get(F.split(inner, "=", 2), F.lit(1)), F.lit("")).alias("value"))
 
 
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789#@"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789#@"
 
 
 def short_id(number: Column) -> Column:
     """A non-negative number in base 64, most significant digit first."""
     n = number.cast("long")
-    digits = F.transform(F.sequence(F.lit(10), F.lit(0), F.lit(-1)), lambda k: F.substring(F.lit(_ALPHABET), (F.call_function("shiftright", n, k * 6).bitwiseAND(F.lit(63)) + 1).cast("int"), F.lit(1)))
+    digits = F.transform(F.sequence(F.lit(10), F.lit(0), F.lit(-1)), lambda k: F.substring(F.lit(ALPHABET), (F.call_function("shiftright", n, k * 6).bitwiseAND(F.lit(63)) + 1).cast("int"), F.lit(1)))
     return F.regexp_replace(F.array_join(digits, ""), "^A+(?=.)", "")
 
 
+def encoded_entities(text: Column) -> Column:
+    """Text for an XML attribute in double quotes; white space other than blanks is kept as references."""
+    for sign, spelled in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(sign), F.lit(spelled))
+    return text
+
+
+def decoded_entities(text: Column) -> Column:
+    """Value of an XML attribute: plain white space is a blank, named and numeric references stand for their characters."""
+    named = F.create_map(*(F.lit(x) for kv in {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}.items() for x in kv))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#x[0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[a-z]+);", 1)
+        number = F.when(name.startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("long")
+        sign = F.coalesce(F.when(number < 0x110000, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), named[name])
+        return F.coalesce(F.concat(sign, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(F.translate(text, "\t\n\r", "   "), "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+
+
 def fnv(text: Column) -> Column:
     """FNV-1a over UTF-16 code units, 64 bits, 16 hex digits; a batch's texts advance together, a unit a step."""
 

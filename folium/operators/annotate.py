@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import SENTENCE_BREAK, TOKEN_BREAK, running, words
+from folium.session import shared_root
 
 LAYOUT_TAGS = ["_image", "_sbr", "_hbr", "_fsc", "_fnc", "_ydiff", "_cr", "_page"]
 
@@ -74,3 +75,32 @@ def tokens_outside_tags(tokens: DataFrame, tags: DataFrame, key: str = "doc_id")
     order = Window.partitionBy(key).orderBy("begin", "kind").rowsBetween(Window.unboundedPreceding, 0)
     blocked = F.max(F.when(F.col("kind") == 0, F.col("end"))).over(order)
     return both.withColumn("blocked_until", blocked).where("kind = 1 and (blocked_until is null or begin > blocked_until)").select(key, "begin", "end", "content")
+
+
+def without_spans(annotations: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Annotations in a text from which spans (apart from each other) are cut: ``begin, end`` move left by what goes before them.
+
+    Offsets inside a span move to its start. One pass over starts and ends by running sums, instead of a range join.
+    """
+    marks = removed.select(key, F.col("begin").alias("at"), F.lit(0).alias("kind"), F.col("begin").alias("open"), (F.col("end") - F.col("begin")).alias("size"))
+    shared_root(annotations.sparkSession)
+    rows = annotations.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    ends = rows.select(key, F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("kind")), F.struct(F.col("end").alias("at"), F.lit(2).alias("kind")))).alias("x"), "_row").select(key, "x.at", "x.kind", "_row")
+    both = marks.withColumn("_row", F.lit(None).cast("long")).unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = F.last(F.when(F.col("kind") == 0, F.struct("open", "size")), ignorenulls=True).over(order)
+    inside = F.coalesce(F.greatest(last["open"] + last["size"] - F.col("at"), F.lit(0)), F.lit(0))
+    placed = both.withColumn("to", F.col("at") - gone + inside).where("kind > 0")
+    moved = placed.groupBy("_row").agg(F.max(F.when(F.col("kind") == 1, F.col("to"))).cast("int").alias("begin"), F.max(F.when(F.col("kind") == 2, F.col("to"))).cast("int").alias("end"))
+    return rows.drop("begin", "end").join(moved, "_row").drop("_row").select(annotations.columns)
+
+
+def largest_id(annotations: DataFrame, column: str = "aid") -> DataFrame:
+    """One row, ``n``: the largest annotation id, 0 if there is none; new ones go on from it."""
+    return annotations.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("n"))
+
+
+def of_types(annotations: DataFrame, types: list[str]) -> DataFrame:
+    """Annotations of the named types; with files partitioned by ``type`` the others aren't read."""
+    return annotations.where(F.col("type").isin(types))

@@ -139,6 +139,12 @@ def components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def component_sets(found: DataFrame, names: DataFrame) -> DataFrame:
+    """``component, size, names`` of ``node, component``: the sets of similar documents by name."""
+    listed = found.join(names.select(F.col("id").alias("node"), "name"), "node")
+    return listed.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("name")).alias("names"))
+
+
 def named(rows: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
     """Ids in ``columns`` replaced by their names of ``names(id, name)``."""
     for c in columns:
@@ -156,10 +162,18 @@ def svd(rows: DataFrame, rank: int = 10, row: str = "row", col: str = "col", val
 
     n = n_cols or rows.agg(F.max(col)).first()[0] + 1
     grouped = rows.where(F.col(value) != 0).groupBy(row).agg(F.sort_array(F.collect_list(F.struct(col, value))).alias("e"))
+    # the distributed decomposition takes rows as objects; its left vectors are made again by a join, not row by row
     matrix = IndexedRowMatrix(grouped.rdd.map(lambda r: IndexedRow(r[0], SparseVector(n, [x[0] for x in r[1]], [float(x[1]) for x in r[1]]))), numCols=n)
-    found = matrix.computeSVD(min(rank, n, max(1, grouped.count())), computeU=True)
-    u = found.U.rows.flatMap(lambda r: [(int(r.index), k, float(x)) for k, x in enumerate(r.vector)])
-    return rows.sparkSession.createDataFrame(u, "row long, component int, value double"), found.s.toArray(), found.V.toArray()
+    found = matrix.computeSVD(min(rank, n, max(1, grouped.count())), computeU=False)
+    s, v = found.s.toArray(), found.V.toArray()
+    return fold_in(rows.select(F.col(row).alias("row"), F.col(col).alias("col"), F.col(value).alias("value")), s, v), s, v
+
+
+def pca(rows: DataFrame, rank: int = 10):
+    """Scores ``row, component, value`` (left vectors times singular values) and components (right vectors), without centring."""
+    u, s, v = svd(rows, rank)
+    sigma = rows.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "component int, s double")
+    return u.join(F.broadcast(sigma), "component").select("row", "component", (F.col("value") * F.col("s")).alias("value")), v
 
 
 def symmetric_eigen(rows: DataFrame, rank: int = 10):

@@ -620,7 +620,7 @@ def fnv_hash(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", fx.fnv(F.col("text")).alias("hash"))
 
 
-_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789#@"
+_ABC = fx.ALPHABET
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderkey >= 4096 THEN substr('{_ABC}', CAST(o_orderkey // 4096 AS INT) + 1, 1) ELSE '' END || CASE WHEN o_orderkey >= 64 THEN substr('{_ABC}', CAST(o_orderkey // 64 % 64 AS INT) + 1, 1) ELSE '' END || substr('{_ABC}', CAST(o_orderkey % 64 AS INT) + 1, 1) AS id FROM orders")
@@ -683,17 +683,10 @@ def reading_gaps(spark, sf_dir):
     return t.select("page", "cluster", "gap", "space", "back", F.exists("tags", lambda x: x.startswith("<_pdf _fnc=")).alias("new_font"))
 
 
-@query("WITH l AS (SELECT n_nationkey AS link, n_nationkey * 10.0 AS lo, n_nationkey * 10.0 + 15 AS hi FROM nation) SELECT link, count(*) AS n, sum(event_id)::BIGINT AS ids FROM l JOIN events ON value >= lo AND value < hi GROUP BY link")
-def link_text_range_join(spark, sf_dir):
-    """Values in bands: buckets of the band's width make the theta join an equi-join."""
-    links = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("link"), (F.col("n_nationkey") * 10.0).alias("lo"), (F.col("n_nationkey") * 10.0 + 15).alias("hi"))
-    buckets = F.sequence(F.floor(F.col("lo") / 15), F.floor(F.col("hi") / 15))
-    e = _t(spark, sf_dir, "events").withColumn("k", F.floor(F.col("value") / 15))
-    hit = links.withColumn("k", F.explode(buckets)).join(e, "k").where((F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")))
-    return hit.groupBy("link").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
-
-
 @query("WITH e AS (SELECT user_id, event_id AS b, event_id + 3 + CAST(floor(value) AS BIGINT) % 40 AS stop, event_type FROM events), t AS (SELECT user_id, b, event_type, max(CASE WHEN event_type = 'error' THEN stop END) OVER (PARTITION BY user_id ORDER BY b) AS blocked FROM e) SELECT user_id, b AS \"begin\" FROM t WHERE event_type <> 'error' AND (blocked IS NULL OR b > blocked)")
 def tag_blocking_asof(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + 3 + F.floor("value").cast("long") % 40).alias("end"), F.col("event_type").alias("content"))
     return annotate.tokens_outside_tags(e.where("content <> 'error'"), e.where("content = 'error'"), "user_id").select("user_id", "begin")
+
+
+from folium import registry_more  # noqa: E402, F401  (registers further queries)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.functions.text import file_stem, normalized, parent_name, variations
+from folium.functions.text import decoded_entities, encoded_entities, file_stem, normalized, parent_name, variations
 
 _PLAIN = re.compile(r"^\w+$")
 
@@ -71,21 +71,44 @@ def list_annotated(spark: SparkSession, path: str, allowed: DataFrame | None = N
     return files
 
 
+ANNOTATION_FIELDS = ["content", "value", "term", "category", "tagtype"]
+
+
+def parse_xmi(value: Column) -> Column:
+    """An XMI document as ``text, annotations``; attributes are decoded, so offsets fit the text."""
+    entry = '<(?:\\w+:)(\\w+)((?:\\s+[\\w:]+="[^"]*")*)\\s*/?>'
+    attr = lambda x, n: F.regexp_extract(x, f'(?:^|\\s){n}="([^"]*)"', 1)
+    kinds, rest = (F.regexp_extract_all(value, F.lit(entry), F.lit(i)) for i in (1, 2))
+    rows = F.filter(F.zip_with(kinds, rest, lambda k, a: F.struct(k.alias("type"), a.alias("attrs"))), lambda r: r["attrs"].rlike('\\sbegin="\\d+"'))
+    one = lambda r: F.struct(r["type"].alias("type"), attr(r["attrs"], "begin").cast("int").alias("begin"), attr(r["attrs"], "end").cast("int").alias("end"), *(F.nullif(decoded_entities(attr(r["attrs"], n)), F.lit("")).alias(n) for n in ANNOTATION_FIELDS))
+    return F.struct(decoded_entities(F.regexp_extract(value, 'sofaString="([^"]*)"', 1)).alias("text"), F.transform(rows, one).alias("annotations"))
+
+
+def xmi_text(text: Column, annotations: Column) -> Column:
+    """An XMI document of a text and its annotations, the inverse of ``parse_xmi``; null fields are left out."""
+    quoted = lambda n, c: F.concat(F.lit(f' {n}="'), encoded_entities(c), F.lit('"'))
+
+    def one(r: Column, i: Column) -> Column:
+        places = F.concat(F.lit(' begin="'), r["begin"].cast("string"), F.lit('" end="'), r["end"].cast("string"), F.lit('"'))
+        return F.concat(F.lit("<folium:"), r["type"], F.lit(' xmi:id="'), (i + 2).cast("string"), F.lit('" sofa="1"'), places, *(F.coalesce(quoted(n, r[n]), F.lit("")) for n in ANNOTATION_FIELDS), F.lit("/>"))
+
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?><xmi:XMI xmlns:xmi="http://www.omg.org/XMI" xmlns:cas="http:///uima/cas.ecore" xmlns:folium="http:///folium.ecore" xmi:version="2.0">')
+    sofa = F.concat(F.lit('<cas:Sofa xmi:id="1" sofaNum="1" sofaID="_InitialView" mimeType="text"'), quoted("sofaString", text), F.lit("/>"))
+    return F.concat(head, F.array_join(F.transform(annotations, one), ""), sofa, F.lit("</xmi:XMI>"))
+
+
 def read_xmi(spark: SparkSession, path: str) -> DataFrame:
     """Stand-off annotations of XMI files: ``path, text, annotations``; gzip goes by the file's suffix."""
     files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
-    entry = '<(?:\\w+:)(\\w+)((?:\\s+[\\w:]+="[^"]*")*)\\s*/?>'
-    attr = lambda x, n: F.regexp_extract(x, f'(?:^|\\s){n}="([^"]*)"', 1)
-    kinds, rest = (F.regexp_extract_all("value", F.lit(entry), F.lit(i)) for i in (1, 2))
-    rows = F.zip_with(kinds, rest, lambda k, a: F.struct(k.alias("type"), F.expr("try_cast(null as int)").alias("none"), a.alias("attrs")))
-    shaped = F.transform(
-        F.filter(rows, lambda r: r["attrs"].rlike('\\sbegin="\\d+"')),
-        lambda r: F.struct(r["type"].alias("type"), attr(r["attrs"], "begin").cast("int").alias("begin"), attr(r["attrs"], "end").cast("int").alias("end"), *(F.nullif(attr(r["attrs"], n), F.lit("")).alias(n) for n in ("content", "value", "term", "category", "tagtype"))),
-    )
-    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", 'sofaString="([^"]*)"', 1).alias("text"), shaped.alias("annotations"))
+    return files.select(F.col("_metadata.file_path").alias("path"), parse_xmi(F.col("value")).alias("x")).select("path", "x.text", "x.annotations")
+
 
+def write_xmi(annotated: DataFrame, path: str, name: str = "name") -> None:
+    """``name, text, annotations`` as gzipped XMI documents, a folder for each name; ``read_xmi`` reads them back."""
+    annotated.select(name, xmi_text(F.col("text"), F.col("annotations")).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 1).partitionBy(name).text(path)
 
-def write_xmi_parts(annotated: DataFrame, path: str, segments: int | None = None) -> None:
+
+def write_annotated_parts(annotated: DataFrame, path: str, segments: int | None = None) -> None:
     """Annotated documents as Parquet, in ``segments`` parts if asked."""
     (annotated.repartition(segments) if segments else annotated).write.parquet(path)
 
@@ -139,8 +162,17 @@ def upload_corpora(paths: DataFrame, literature: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Text rows of numbers as ``row, values``; sparse rows ``i v i v`` are told apart by ``sparse_matrix``."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.transform(F.filter(F.split(F.trim("value"), "\\s+"), lambda x: x != ""), lambda x: x.cast("double")).alias("values"))
+    """Text rows of numbers as ``row, values``, numbered from 0 through files by name; sparse rows ``i v i v`` are told apart by ``sparse_matrix``."""
+    from folium.operators.index import with_ids
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    values = F.transform(F.filter(F.split(F.trim("value"), "\\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    return with_ids(lines, ["_f", "_b", "_m"]).select(F.col("id").alias("row"), values.alias("values"))
+
+
+def write_matrix(rows: DataFrame, path: str) -> None:
+    """``row, values`` as lines of numbers in the order of rows; a range of rows is a file."""
+    rows.repartitionByRange("row").sortWithinPartitions("row").select(F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("value")).write.text(path)
 
 
 def sparse_matrix(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str):
     """Adds each batch's documents, sentences and postings below ``path``; a batch that runs again replaces itself."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["doc_id"]).persist()
+        # of one id's rows in a batch, which has no order, the one with the least hash
+        columns = [F.col(c) for c in batch.columns]
+        once = batch.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*").persist()
         for name, rows in (("docs", once), ("sentences", sentences(once)), ("postings", postings(once))):
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
         once.unpersist()

@@ -340,3 +340,62 @@ def test_pairs_components_and_svd(spark):
     _, s, _ = lsa.svd(m, 5)
     assert s.tolist() == pytest.approx([3.0, 2.0])
     assert sorted(lsa.symmetric_eigen(m, 2)[0].tolist()) == pytest.approx([-2.0, 3.0])
+
+
+def test_xmi_files_keep_text_and_offsets(spark, tmp_path):
+    text = "a & b < c > \"d\" 'e'\n\tend \U0001f600"
+    note = ("Token", 0, len(text), "a & b", "x\ny", None, "c<d", None)
+    kinds = "name string, text string, annotations array<struct<type:string,begin:int,end:int,content:string,value:string,term:string,category:string,tagtype:string>>"
+    files.write_xmi(spark.createDataFrame([("one", text, [note, note]), ("two", "", [])], kinds), f"file://{tmp_path}/x")
+    got = {r["path"].split("/")[-2]: r for r in files.read_xmi(spark, f"file://{tmp_path}/x").collect()}
+    assert got["name=one"]["text"] == text and [tuple(a) for a in got["name=one"]["annotations"]] == [note, note]
+    assert got["name=two"]["text"] == "" and got["name=two"]["annotations"] == []
+    odd = spark.createDataFrame([("&#x1F600;&amp;lt; &nope; & &#65;&#10;&#99999999;",)], "t string").select(fx.decoded_entities(F.col("t"))).first()[0]
+    assert odd == "\U0001f600&lt; &nope; & A\n&#99999999;"
+
+
+def test_matrix_rows_are_numbered_through_splits(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for k in range(3):
+        (tmp_path / "m" / f"{k}.txt").write_text("".join(f"{k * 400 + i} 1.5\n" for i in range(400)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = files.read_matrix(spark, f"file://{tmp_path}/m").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["row"], r["values"]) for r in rows) == [(i, [float(i), 1.5]) for i in range(1200)]
+
+
+def test_hash_against_a_plain_loop(spark):
+    texts = ["", "a", "dna", "ß\U0001f600x", "long " * 300, None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(fx.fnv(F.col("t"))).collect()]
+    for t, h in zip(texts, got, strict=True):
+        if t is None:
+            assert h is None
+            continue
+        value, data = 0xCBF29CE484222325, t.encode("utf-16-le")
+        for i in range(0, len(data), 2):
+            value = (value ^ int.from_bytes(data[i : i + 2], "little")) * 0x100000001B3 % 2**64
+        assert h == f"{value:016x}"
+
+
+def test_a_folder_that_is_not_shared_is_an_error_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from folium.session import shared_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_stream_batch_with_one_id_twice(spark, tmp_path):
+    rows = [(1, f"version {k}.") for k in range(20)]
+    kept = set()
+    for name, own in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(own, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/{name}/in")
+        incremental.index_stream(incremental.watch(spark, f"{tmp_path}/{name}/in", "doc_id long, text string"), f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/ck").awaitTermination()
+        kept |= {r["text"] for r in incremental.latest(spark, f"{tmp_path}/{name}/out").collect()}
+    assert len(kept) == 1
