@@ -1,18 +1,23 @@
 """Quality, mixing, fingerprints, duplicates and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from folium.llm import exact, mixing, quality, queries, simhash, winnow
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 EDGES = [(1, None, None), (2, "", "a"), (3, "One two three four", "a"), (3, "One two three four", "a"), (None, "no id here", "b"), (5, " \t\n", "b"), (6, "word word word, " * 5000, None), (7, "one TWO three four", "b"), (8, "ÄÖ one", "ä")]
 
 
@@ -108,43 +113,71 @@ def test_mix_is_the_same_again_and_in_any_order(spark):
 # --- fingerprints
 
 
-def naive_winnow(text, k, w):
+def naive_hash(run):
+    """A polynomial over whole numbers, mixed: what the doubling in arrays has to come to."""
+    h = 0
+    for c in run:
+        h = h * 0x100000001B3 + (c + 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9
+    h %= 2**64
+    h = (h ^ h >> 29) * 0x94D049BB133111EB % 2**64
+    return h >> 32
+
+
+def naive_winnow(text, k=winnow.K, w=winnow.W):
     """Least hash per window, rightmost of equal ones, from hashes of the runs one by one."""
-    codes = np.array([ord(c) for c in text], np.uint32)
-    h = [int(winnow._run_hashes(np.concatenate([codes[i : i + k], np.zeros(k, np.uint32)]), k)[0]) for i in range(len(codes) - k + 1)]
+    codes = [ord(c) for c in text]
+    if not codes:
+        return []
+    if len(codes) < k:
+        short = codes + [0] * (k - len(codes))
+        short[-1] ^= len(codes) << 24
+        return [(naive_hash(short), 0)]
+    h = [naive_hash(codes[i : i + k]) for i in range(len(codes) - k + 1)]
     places = []
     for i in range(max(1, len(h) - w + 1)):
         window = h[i : i + w]
-        p = i + max(j for j, v in enumerate(window) if v == min(window))
+        low = min(window)
+        p = i + len(window) - 1 - window[::-1].index(low)
         if not places or places[-1] != p:
             places.append(p)
     return [(h[p], p) for p in places]
 
 
+def naive_digest(marks):
+    return hashlib.md5(b"".join(h.to_bytes(4, "little") for h, _ in marks) + b"".join(p.to_bytes(8, "little") for _, p in marks)).hexdigest()
+
+
 def test_winnow_against_brute_force():
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abé 🙂") for _ in range(rng.randint(16, 120))) for _ in range(40)] + ["a" * 80, "x" * 16]
+    texts = ["".join(rng.choice("abé 🙂") for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["a" * 80, "x" * 16, "", "z"]
     for text, (h, p) in zip(texts, winnow.winnow(texts), strict=True):
-        assert list(zip(h.tolist(), p.tolist())) == naive_winnow(text, winnow.K, winnow.W)
+        assert list(zip(h.tolist(), p.tolist())) == naive_winnow(text)
     shared = "".join(rng.choice("abcdefgh") for _ in range(winnow.K + winnow.W - 1))
     a, b = winnow.winnow(["left part " + shared + " and", "other " + shared])
     assert set(a[0].tolist()) & set(b[0].tolist())
 
 
-def test_fingerprint_query(spark, sf_dir):
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in documents(spark, sf_dir)), reverse=True)
-    got = {r["doc_id"]: r for r in queries.op5_winnowing(spark, sf_dir).collect()}
+@pytest.mark.parametrize("ranges", [None, 50])
+def test_fingerprint_query_against_brute_force(spark, sf_dir, ranges):
+    docs = sorted(((r["doc_id"], (r["text"] or "")[:3000]) for r in documents(spark, sf_dir)), reverse=True)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = queries.op5_winnowing(spark, sf_dir) if ranges is None else winnow.fingerprint_pairs(table, ranges)
+    if ranges is None:  # whole texts, of which the short ones are checked
+        docs = sorted(((r["doc_id"], r["text"] or "") for r in documents(spark, sf_dir)), reverse=True)
+    got = {r["doc_id"]: r for r in found.collect()}
     assert len(got) == len(docs)
-    marks = winnow.winnow([t for _, t in docs])
     for i, (key, text) in enumerate(docs):
-        j = (i + 1) % len(docs)
+        following = docs[(i + 1) % len(docs)][1]
         half = len(text) // 2
-        changed = text[: len(text) - half] + docs[j][1][:half]
-        r, (m,) = got[key], winnow.winnow([changed])
-        sets = [set(x[0].tolist()) for x in (marks[i], m, marks[j])]
-        near = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        changed = text[: len(text) - half] + following[:half]
+        r = got[key]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (winnow.digest(*marks[i]), winnow.digest(*m))
+        if len(text) + len(following) > 6000:
+            continue
+        marks = [naive_winnow(t) for t in (text, changed, following)]
+        sets = [{h for h, _ in m} for m in marks]
+        near = [len(sets[0] & x) / len(sets[0] | x) if sets[0] | x else 1.0 for x in sets[1:]]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (naive_digest(marks[0]), naive_digest(marks[1]))
         assert [r["near_edited"], r["near_next"]] == pytest.approx(near)
 
 
@@ -336,6 +369,58 @@ def test_near_stage_keeps_one_of_each_group_whatever_the_ids(spark, sf_dir):
     assert sorted((r["text"].lower(), r["doc_id"]) for r in kept) == sorted((text[k], key) for k, key in zip("abcd", (None, None, 5, 5), strict=True))
 
 
+def test_quality_and_packing_stages_on_edges(spark, sf_dir):
+    clash = "doc_id long, text string, source string, score double, length long, row long, share int, label int"
+    rows = [(*e, 0.5, 7, 8, 9, None) for e in EDGES] + [(9, "word " * 60_000, "s", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, clash)
+    kept = corpus_pipeline.quality_stage(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r["length"] for r in kept.collect()} <= {7, None}
+    # no document has a label: nothing to learn from, nothing is rejected
+    assert kept.count() == len(rows)
+    assert corpus_pipeline.quality_stage(spark, docs.limit(0), sf_dir).isEmpty()
+    pieces = corpus_pipeline.packing_stage(spark, docs, sf_dir).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(r[0] for r in rows)
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 9) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 9) > 60_000
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), sf_dir).isEmpty()
+
+
+def test_training_is_the_same_whatever_the_order_of_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i % 40, " ".join(rng.choice(["good", "prose", "###", "$$$"][2 * (i % 2) : 2 * (i % 2) + 2]) for _ in range(30))) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5))]
+    assert all(np.array_equal(models[0].p[k], models[1].p[k]) for k in models[0].p)
+
+
+def test_mixing_is_the_same_whatever_the_order_of_like_rows(spark):
+    rows = [(None if i % 3 else 1, f"five words of text {i}", "s" if i % 4 else None) for i in range(200)]
+    taken = []
+    for r, n in ((rows, 2), (rows[::-1], 7)):
+        docs = spark.createDataFrame(r, "doc_id long, text string, source string").repartition(n)
+        sized = docs.select("doc_id", "source", "text", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+        taken.append(sorted((x["text"], x["copies"]) for x in mixing.copies(sized).collect()))
+    assert taken[0] == taken[1] and len({c for _, c in taken[0]}) > 1
+
+
+def test_operators_work_first_thing_in_a_session_from_elsewhere(tmp_path):
+    """Workers find the package although the driver's folder isn't on their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from folium.llm import html, simhash
+pages = spark.createDataFrame([(1, "u", "<article><p>one</p></article>")], "page_id long, url string, html string")
+assert html.main_text(pages).first()["text"] == "one"
+assert simhash.near_duplicates(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).count() == 1
+print("worked")
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "worked" in done.stdout, done.stderr[-2000:]
+
+
 def test_pipeline_stages_on_edges(spark, sf_dir):
     rows = [(*e, 1, 2, "own") for e in EDGES]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_number long, times int, rid string")
