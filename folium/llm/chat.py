@@ -33,17 +33,18 @@ def _turn() -> Column:
     return F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def swapped_endings(conversations: DataFrame) -> DataFrame:
+def branched(conversations: DataFrame) -> DataFrame:
     """Pairs from plain ``conversations(conv_id, turn, role, text)``: ``pair_id, c, r``.
 
-    The chosen side is a conversation as it is, the rejected one ends with the last turn of its neighbour (ids 2k and
-    2k + 1 are neighbours); without one there is no rejected side.
+    The chosen side is a conversation as it is; the rejected one has its first ``id mod turns`` turns and goes on as its
+    neighbour does behind as many (ids 2k and 2k + 1 are neighbours). Without a neighbour there is no rejected side.
     """
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), _turn().alias("x"))
     whole = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list("x")).alias("c"))
-    other = rows.groupBy("pair_id").agg(F.max("x").alias("other")).select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "other")
-    r = F.when(F.col("other").isNull(), F.expr("slice(c, 1, 0)")).otherwise(F.concat(F.expr("slice(c, 1, size(c) - 1)"), F.array("other")))
-    return whole.join(other, "pair_id", "left").select("pair_id", "c", r.alias("r"))
+    other = whole.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("c").alias("o"))
+    joined = whole.join(other, "pair_id", "left").withColumn("j", F.pmod("pair_id", F.size("c")).cast("int"))
+    r = F.when(F.col("o").isNull(), F.expr("slice(c, 1, 0)")).otherwise(F.concat(F.expr("slice(c, 1, j)"), F.expr("slice(o, j + 1, greatest(size(o) - j, 0))")))
+    return joined.select("pair_id", "c", r.alias("r"))
 
 
 def sides(turns: DataFrame) -> DataFrame:
@@ -66,10 +67,10 @@ ORACLE = """
 WITH u AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
   count(*) OVER (PARTITION BY conv_id) AS len FROM conversations WHERE conv_id IS NOT NULL),
-ends AS (SELECT xor(CAST(conv_id AS BIGINT), 1::BIGINT) AS conv_id, role, text FROM u WHERE k = len),
+own AS (SELECT DISTINCT conv_id, conv_id % len AS j FROM u WHERE xor(CAST(conv_id AS BIGINT), 1::BIGINT) IN (SELECT conv_id FROM u)),
 t AS (SELECT conv_id AS pair_id, true AS side, role, text, k FROM u
-  UNION ALL SELECT conv_id, false, role, text, k FROM u WHERE k < len AND conv_id IN (SELECT conv_id FROM ends)
-  UNION ALL SELECT u.conv_id, false, ends.role, ends.text, len FROM u JOIN ends USING (conv_id) WHERE k = len),
+  UNION ALL SELECT u.conv_id, false, role, text, k FROM u JOIN own USING (conv_id) WHERE k <= j
+  UNION ALL SELECT own.conv_id, false, role, text, k FROM own JOIN u ON u.conv_id = xor(CAST(own.conv_id AS BIGINT), 1::BIGINT) WHERE k > j),
 m AS (SELECT pair_id, k, count(*) = 2 AND count(DISTINCT role) = 1 AND count(DISTINCT text) = 1 AS same FROM t GROUP BY pair_id, k),
 n AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN k END) - 1, max(k)) AS n, bool_and(same) AS equal FROM m GROUP BY pair_id),
 w AS (SELECT t.*, n.n, equal, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,

@@ -56,7 +56,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(chat.swapped_endings(table(spark, sf_dir, "conversations")))
+    return chat.preferences(chat.branched(table(spark, sf_dir, "conversations")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,13 +227,15 @@ def test_pairs_against_brute_force(spark):
 def test_conversation_edges(spark):
     rows = [(2, 1, "user", "hi", 1), (2, 2, "assistant", None, 1), (2, 2, "assistant", None, 1), (3, None, None, "hi", 1), (None, 1, "user", "lost", 1), (8, 1, "user", "alone" * 50000, 1), (10, 1, "user", "same", 1), (11, 1, "user", "same", 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt int")
-    got = {r["pair_id"]: r for r in chat.preferences(chat.swapped_endings(turns)).collect()}
+    got = {r["pair_id"]: r for r in chat.preferences(chat.branched(turns)).collect()}
     assert {k: r["status"] for k, r in got.items()} == {2: "pair", 3: "pair", 8: "no rejected", 10: "equal", 11: "equal"}
-    assert got[2]["prompt_turns"] == 2 and got[3]["rejected"] == "<|assistant|>\n<|end|>\n"
-    assert chat.preferences(chat.swapped_endings(turns.limit(0))).isEmpty()
+    assert got[2]["prompt_turns"] == 2 and got[3]["rejected"] == "<|user|>\nhi<|end|>\n" + 2 * "<|assistant|>\n<|end|>\n"
+    assert chat.preferences(chat.branched(turns.limit(0))).isEmpty()
 
 
 def test_preferences_are_native(spark, sf_dir):
     plan = queries.op10_preferences(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "BatchEval", "ExistingRDD"))
-    assert queries.op10_preferences(spark, sf_dir).where(F.length("prompt") > 0).count() >= 0
+    # the query's pairs part at the first turn, at the last one and between
+    assert queries.op10_preferences(spark, sf_dir).where("prompt_turns = 0").count() > 0
+    assert queries.op10_preferences(spark, sf_dir).select("prompt_turns").distinct().count() > 2
