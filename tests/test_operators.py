@@ -399,3 +399,33 @@ def test_stream_batch_with_one_id_twice(spark, tmp_path):
         incremental.index_stream(incremental.watch(spark, f"{tmp_path}/{name}/in", "doc_id long, text string"), f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/ck").awaitTermination()
         kept |= {r["text"] for r in incremental.latest(spark, f"{tmp_path}/{name}/out").collect()}
     assert len(kept) == 1
+
+
+def test_analysis_by_command_line(spark, tmp_path):
+    import numpy as np
+
+    from folium import lsa_cli
+
+    texts = {"a": "worm gene worm", "b": "worm gene", "c": "yeast cell", "d": "yeast cell cell", "e": ""}
+    spark.createDataFrame(list(texts.items()), "name string, text string").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    folder = f"{tmp_path}/out"
+    lsa_cli.main([f"file://{folder}", "-c", "a", "--docs", f"file://{tmp_path}/docs", "-r", "2", "-t", "-1", "-u", "-s", "-v"], spark)
+    lines = lambda kind: [r[0] for r in spark.read.text(f"file://{folder}/{kind}").collect()]
+    assert sorted(lines("DOC2ID")) == [f"{n}\t{i}" for i, n in enumerate("abcde")]
+    ids = dict(x.split("\t") for x in lines("WD2ID"))
+    m = np.zeros((5, len(ids)))
+    for i, t in enumerate(texts.values()):
+        for w in t.split():
+            m[i, int(ids["token:" + w])] += 1
+    gf, n = m.sum(axis=0), len(ids)
+    e = np.where(m > 0, m * np.log(np.maximum(m, 1)), 0).sum(axis=0)
+    f = np.log1p(m) * (1 - (e - gf * np.log(gf)) / (np.log(n) * gf))
+    assert sorted(map(float, lines("S")), reverse=True) == pytest.approx(np.linalg.svd(f, compute_uv=False)[:2].tolist(), abs=1e-5)
+    cos = {tuple(map(int, x.split()[:2])): float(x.split()[2]) for x in lines("SCA")}
+    assert cos[0, 1] == pytest.approx(1, abs=1e-3) and abs(cos[0, 2]) < 1e-3 and len(lines("U")) == 4 and len(lines("V")) == n
+    lsa_cli.main([f"file://{folder}", "-c", "sd", "-t", "0.9"], spark)
+    assert sorted(lines("SIM")) == ["a\tb", "c\td"] and sorted(lines("SET")) == ["0\ta", "0\tb", "2\tc", "2\td"]
+    (tmp_path / "out" / "EXC").mkdir()
+    (tmp_path / "out" / "EXC" / "names.txt").write_text("b d\n")
+    lsa_cli.main([f"file://{folder}", "-c", "c", "-r", "2", "-t", "0.9", "-e"], spark)
+    assert lines("SCA") == []
