@@ -5,7 +5,8 @@ element, role, class or id go, and forms that hold no article; regions named as
 go where most of their text is links. If the page has an article or main element, its blocks are the text; of several,
 those of all. Otherwise its remaining blocks are undecided, those of forms only where there are no others: substrings of
 ``DEPTH`` tokens or more that stand in at least ``MIN_PAGES`` distinct pages of the host are repeats, tokens they cover are
-removed and the unique runs stay. Pages of equal blocks count as one, so copies of a page aren't each other's boilerplate.
+removed and the unique runs stay. Pages of equal blocks count as one, so copies of a page aren't each other's boilerplate;
+a page that consists of repeats alone stays whole.
 
 Pages are handled in chunks of about ``SHARD`` characters. A chunk's pages are concatenated as token streams, and a
 suffix array gives each distinct substring with the pages of the chunk that hold it. The array is sorted to ``DEPTH``
@@ -313,7 +314,7 @@ def _among(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarra
 
 
 def _unique_runs(blocks: list[str], mask: np.ndarray) -> list[str]:
-    """A page's blocks without the tokens that repeated substrings cover; empty blocks go."""
+    """A page's blocks without the tokens that repeated substrings cover; empty blocks go. A page of repeats alone stays whole."""
     at, kept = 0, []
     for block in blocks:
         b = block.split(" ")
@@ -321,7 +322,7 @@ def _unique_runs(blocks: list[str], mask: np.ndarray) -> list[str]:
         at += len(b)
         if text := " ".join(w for w, gone in zip(b, own.tolist(), strict=True) if not gone):
             kept.append(text)
-    return kept
+    return kept or blocks
 
 
 _PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("blocks", pa.list_(pa.string())), ("chunk", pa.int64()), ("row", pa.int64()), ("content", pa.binary())])
