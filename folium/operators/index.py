@@ -83,7 +83,7 @@ class Collection:
     :param modes: case modes that are indexed, ``ci`` and ``cs``
     """
 
-    TABLES = ["docs", "sentences", "postings", "lengths", "deleted"]
+    TABLES = ["docs", "sentences", "postings", "lengths", "deleted", "unsorted"]
 
     def __init__(self, spark: SparkSession, path: str, stop_words: list[str] | None = None, modes: list[str] | None = None):
         self.spark, self.path, self.external = spark, path.rstrip("/"), None
@@ -178,8 +178,14 @@ class Collection:
                 own = f"{segment}/granularity={granularity}/case_mode={mode}"
                 unit_lengths(docs, granularity, mode, rows, self.stop_words).write.parquet(f"{self.path}/lengths/segment={own}")
                 post = postings(docs, granularity, mode, rows, self.stop_words).drop("granularity", "case_mode")
+                # ranges are chosen by a sample: written first, so that the sample doesn't count everything a second time
+                post.write.parquet(f"{self.path}/unsorted/segment={own}")
+                post = self.spark.read.schema(post.schema).parquet(f"{self.path}/unsorted/segment={own}")
                 post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "sentence_id").write.parquet(f"{self.path}/postings/segment={own}")
 
+        fs, folder = self._folder(f"unsorted/segment={segment}")
+        fs.delete(folder, True)
+
     def build(self, docs: DataFrame) -> None:
         """Starts anew with these documents."""
         segment = f"s{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import TOKEN_BREAK, running, words
+from folium.functions.text import TOKEN_BREAK, words
 from folium.session import shared_root
 
 OWN_PREFIX = "pAaCh"
@@ -44,27 +44,45 @@ def match(docs: DataFrame, lexicon: DataFrame, stop_words: DataFrame | None = No
     Texts are cut at token breaks that are kept as pieces; a term of n pieces can only be n pieces in a row. For each
     piece count that occurs in the lexicon the runs of that many pieces are joined with the terms; Spark broadcasts the
     lexicon if it is small. A term right at the start is found only with ``at_start``, as matching starts behind a
-    break. Matches that equal a stop word are left out. Runs and offsets are made within the row: before the join nothing
-    is shuffled.
+    break. Matches that equal a stop word are left out. Runs and offsets are made within the row, for a batch of rows at
+    once in Arrow: before the join nothing is shuffled.
     """
     marked = lambda c: F.filter(F.split(F.regexp_replace(c, f"({TOKEN_BREAK})", "\u0001$1\u0001"), "\u0001"), lambda p: p != "")
     lex = lexicon.select("term", "category").where("term <> ''").distinct().withColumn("pieces", F.size(marked(F.col("term"))))
     # a handful of numbers: how many pieces terms have
     lengths = sorted(r[0] for r in lex.select("pieces").distinct().collect())
-    is_break = lambda c: c.rlike(f"^(?:{TOKEN_BREAK})$")
-    placed = docs.select(key, marked(F.col(text)).alias("p")).select(key, "p", running(F.transform("p", F.length)).alias("stop"), F.transform("p", is_break).alias("mark"))
 
-    def run(k: int):
-        def at(x, i):
-            free = F.when(i > 0, F.get("mark", i - 1)).otherwise(F.lit(at_start)) & F.coalesce(F.get("mark", i + k), F.lit(True)) & (i + k <= F.size("p"))
-            term = F.concat(x, *(F.get("p", i + j) for j in range(1, k)))
-            return F.when(free, F.struct(F.lit(k).alias("pieces"), (F.get("stop", i) - F.length(x)).alias("begin"), term.alias("term")))
-
-        return F.transform("p", at)
-
-    runs = [run(k) for k in lengths]
-    none = F.array().cast("array<struct<pieces:int,begin:int,term:string>>")
-    found = placed.select(key, F.explode(F.array_compact(F.flatten(F.array(*runs))) if runs else none).alias("r")).select(key, "r.pieces", "r.begin", "r.term")
+    @F.arrow_udf("array<struct<pieces:int,begin:int,term:string>>")
+    def runs(v):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        edges = v.offsets.to_numpy().astype(np.int64)
+        pieces = v.values.slice(edges[0], edges[-1] - edges[0])
+        edges = edges - edges[0]
+        n, doc = len(pieces), np.repeat(np.arange(len(v)), np.diff(edges))
+        coded, place = pieces.dictionary_encode(), np.arange(n)
+        mark = pc.match_substring_regex(coded.dictionary, f"^(?:{TOKEN_BREAK})$").to_numpy(zero_copy_only=False)[coded.indices.to_numpy()] if n else np.zeros(0, bool)
+        length = pc.utf8_length(pieces).to_numpy().astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(length)])
+        begin = before[:-1] - before[edges[:-1]][doc]
+        stop = edges[1:][doc]
+        starts = np.where(place == edges[:-1][doc], at_start, mark[place - 1])
+        rows = [(np.zeros(0, np.int64), 0, pa.array([], pieces.type))]
+        for k in lengths:
+            ends = (place + k == stop) | (place + k < stop) & mark[np.minimum(place + k, max(n - 1, 0))]
+            at = np.flatnonzero(starts & ends)
+            parts = [pieces.take(pa.array(at + j)) for j in range(k)]
+            rows.append((at, k, parts[0] if k == 1 else pc.binary_join_element_wise(*parts, "")))
+        at = np.concatenate([r[0] for r in rows])
+        order = np.argsort(doc[at], kind="stable")
+        count = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])[order]
+        terms = pa.concat_arrays([r[2].cast(pa.string()) for r in rows]).take(pa.array(order))
+        found = pa.StructArray.from_arrays([pa.array(count, pa.int32()), pa.array(begin[at[order]], pa.int32()), terms], names=["pieces", "begin", "term"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(v)))]), pa.int32()), found)
+
+    found = docs.select(key, F.explode(runs(marked(F.coalesce(F.col(text), F.lit(""))))).alias("r")).select(key, "r.pieces", "r.begin", "r.term")
     out = found.join(lex, ["pieces", "term"])
     if stop_words is not None:
         out = out.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti")

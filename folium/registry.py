@@ -68,14 +68,14 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "text", *(c.alias(n) for n, c in fields.items())).join(years, "doc_id", "left")
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> index.Collection:
-    """The stored index of a folder's documents, built by the first query that needs it in a session."""
+def _collection(spark: SparkSession, sf_dir: str, mode: str = "ci") -> index.Collection:
+    """The stored index of a folder's documents in a case mode, built by the first query that needs it in a session."""
     known = spark.sparkContext.__dict__.setdefault("_folium_collections", {})
-    if sf_dir not in known:
-        made = index.Collection(spark, new_folder(spark, "collection"))
+    if (sf_dir, mode) not in known:
+        made = index.Collection(spark, new_folder(spark, "collection"), modes=[mode])
         made.build(_papers(spark, sf_dir))
-        known[sf_dir] = made
-    return known[sf_dir]
+        known[sf_dir, mode] = made
+    return known[sf_dir, mode]
 
 
 # --- words and text -------------------------------------------------------------------------------------------------
@@ -165,7 +165,8 @@ _DOC = "SELECT doc_id AS identifier, round(score, 6) AS score FROM h"
 
 
 def _hits(q: Query, spark, sf_dir, **kw) -> DataFrame:
-    return search.search(q, collection=_collection(spark, sf_dir), **kw).select("identifier", _r("score").alias("score"))
+    mode = index.CASE_MODES[q.case_sensitive]
+    return search.search(q, collection=_collection(spark, sf_dir, mode), **kw).select("identifier", _r("score").alias("score"))
 
 
 @query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"]) + _DOC)
