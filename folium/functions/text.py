@@ -54,9 +54,14 @@ ANALYZED = "[\\p{L}\\p{N}]+(?:['.][\\p{L}\\p{N}]+)*"
 LONGEST = 255
 
 
+def found_words(text: Column, case_sensitive: bool = False) -> Column:
+    """Every token of letters and digits, stop words too."""
+    return F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit(ANALYZED), F.lit(0))
+
+
 def analyzed_places(text: Column, stop_words: list[str] | None = None, case_sensitive: bool = False, longest: int = LONGEST) -> Column:
     """Tokens of letters and digits; stop words and those over ``longest`` characters are null, so the others keep their places."""
-    found = F.regexp_extract_all(text if case_sensitive else F.lower(text), F.lit(ANALYZED), F.lit(0))
+    found = found_words(text, case_sensitive)
     stop = DEFAULT_STOP_WORDS if stop_words is None else stop_words
     return F.transform(found, lambda w: F.when(~w.isin(*stop) & (F.length(w) <= longest), w) if stop else F.when(F.length(w) <= longest, w))
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folium.functions.text import DEFAULT_STOP_WORDS, analyzed, analyzed_places
+from folium.functions.text import DEFAULT_STOP_WORDS, LONGEST, analyzed, analyzed_places, found_words
 from folium.operators.annotate import sentences
 from folium.session import shared_root
 
 GRANULARITIES = {"document": "fulltext", "sentence": "sentence"}
 CASE_MODES = ["ci", "cs"]
+#: Words and units that become lists together: about 150 MB in a worker.
+BLOCK = 1 << 21
 
 
 def units(docs: DataFrame, granularity: str = "fulltext", sentence_rows: DataFrame | None = None) -> DataFrame:
@@ -36,6 +39,75 @@ def unit_lengths(docs: DataFrame, granularity: str = "fulltext", case_mode: str
     return units(docs, granularity, sentence_rows).select("doc_id", "sentence_id", F.size(analyzed(F.col("text"), stop_words, case_mode == "cs")).alias("n_terms"))
 
 
+def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """``term, entries`` of ``rows(doc_id, sentence_id, text)``; an entry is ``doc_id, sentence_id, n_terms, tf, positions``.
+
+    A task inverts its units in blocks, as they come: a block has a row for each of its terms, sorted by term, so that
+    pages of a file cover few terms, and nothing is shuffled. The empty term comes first and lists every unit of the block.
+    """
+    stop = list(DEFAULT_STOP_WORDS if stop_words is None else stop_words)
+    longest, int_list = LONGEST, T.ArrayType(T.IntegerType())
+    entry = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("sentence_id", T.IntegerType()), T.StructField("n_terms", T.IntegerType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", int_list)])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("entries", T.ArrayType(entry))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def starts(*keys):
+            """Where one of the sorted keys changes, and the end."""
+            new = np.zeros(len(keys[0]), bool)
+            new[:1] = True
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            return np.append(np.flatnonzero(new), len(new)).astype(np.int32)
+
+        def listed(terms, bounds, doc, sentence, n_terms, tf, at, places):
+            positions = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(places, pa.int32()))
+            entries = pa.StructArray.from_arrays([doc, sentence, n_terms, pa.array(tf, pa.int32()), positions], ["doc_id", "sentence_id", "n_terms", "tf", "positions"])
+            return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)], ["term", "entries"])
+
+        def inverted(held):
+            whole = [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
+            doc, sentence, found = whole
+            n, sizes = len(doc), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            coded = found.flatten().dictionary_encode()
+            words = coded.dictionary
+            dropped = pc.or_(pc.is_in(words, value_set=pa.array(stop, words.type)), pc.greater(pc.utf8_length(words), longest)).to_numpy(zero_copy_only=False)
+            order = pc.sort_indices(words).to_numpy()
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            rank[dropped] = -1
+            term = rank[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+            place = (np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            kept = term >= 0
+            term, row, place = term[kept], row[kept], place[kept]
+            n_terms = np.bincount(row, minlength=n).astype(np.int32)
+            yield listed(pa.array([""]), [0, n], doc, sentence, pa.array(n_terms, mask=found.is_null().to_numpy(zero_copy_only=False)), np.zeros(n), np.zeros(n + 1), [])
+            if len(term):
+                sort = np.argsort(term, kind="stable")
+                term, row, place = term[sort], row[sort], place[sort]
+                at = starts(term, row)
+                own = row[at[:-1]]
+                bounds = starts(term[at[:-1]])
+                yield listed(words.take(pa.array(order[term[at[:-1]][bounds[:-1]]])), bounds, doc.take(pa.array(own)), sentence.take(pa.array(own)), pa.array(n_terms[own]), np.diff(at), at, place)
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows + b.nbytes // 12
+            if size >= block:
+                yield from inverted(held)
+                held, size = [], 0
+        if held:
+            yield from inverted(held)
+
+    return rows.select("doc_id", "sentence_id", found_words(F.col("text"), case_mode == "cs").alias("words")).mapInArrow(run, schema)
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("granularity", "case_mode", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -78,17 +150,20 @@ class Collection:
     Every change writes only what is new, as a segment of its own, and then one numbered entry of the log, made
     exclusively: readers see all of a change or nothing, and of two writers for one number the later one fails. Deleted
     and replaced ids are rows that hide older segments' rows when those are read; ``compact`` rewrites what is left as one
-    segment and ``vacuum`` removes what no entry needs. Postings are sorted by term, so a filter on terms skips most of them.
+    segment and ``vacuum`` removes what no entry needs. Postings are lists in order of terms, so a filter on terms skips
+    most of them; each entry has its unit's length.
 
-    :param modes: case modes that are indexed, ``ci`` and ``cs``
+    :param modes: case modes that are indexed, ``ci`` and ``cs``; of none, texts and sentences are only kept
+    :param kinds: what is searched for, ``document`` and ``sentence``; sentences are kept for the latter
     """
 
-    TABLES = ["docs", "sentences", "postings", "lengths", "deleted", "unsorted"]
+    TABLES = ["docs", "sentences", "postings", "lengths", "deleted"]
 
-    def __init__(self, spark: SparkSession, path: str, stop_words: list[str] | None = None, modes: list[str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, stop_words: list[str] | None = None, modes: list[str] | None = None, kinds: list[str] | None = None):
         self.spark, self.path, self.external = spark, path.rstrip("/"), None
         self.stop_words = DEFAULT_STOP_WORDS if stop_words is None else stop_words
         self.modes = CASE_MODES if modes is None else modes
+        self.kinds = list(GRANULARITIES) if kinds is None else list(kinds)
 
     # --- the log
 
@@ -117,13 +192,14 @@ class Collection:
 
     # --- reading
 
-    def _table(self, name: str) -> DataFrame:
+    def _table(self, name: str, shown=lambda rows: rows) -> DataFrame:
+        """Rows of a table that no later change hides; ``shown`` makes them, with ``segment`` and ``doc_id``, of what is stored."""
         entries = self.log()
         added = {e["segment"]: e["n"] for e in entries if e["adds"]}
         if not added:
             raise ValueError(f"nothing was added to {self.path}")
         read = lambda t, segments: self.spark.read.option("basePath", f"{self.path}/{t}").parquet(*(f"{self.path}/{t}/segment={s}" for s in segments))
-        rows = read(name, added)
+        rows = shown(read(name, added))
         hiding = {e["segment"]: e["n"] for e in entries if e["hides"]}
         if hiding:
             number = lambda of: F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("segment")]
@@ -136,20 +212,28 @@ class Collection:
         return self._table("docs")
 
     def sentences(self) -> DataFrame:
+        self._has(kind="sentence")
         return self._table("sentences")
 
-    def _mode(self, name: str, kind: str, case_sensitive: bool) -> DataFrame:
-        mode = CASE_MODES[case_sensitive]
-        if mode not in self.modes:
+    def _has(self, kind: str, mode: str | None = None) -> None:
+        if kind not in self.kinds:
+            raise ValueError(f"the collection keeps no {kind} rows")
+        if mode is not None and mode not in self.modes:
             raise ValueError(f"the collection has no index for case mode {mode}")
-        return self._table(name).where((F.col("granularity") == GRANULARITIES[kind]) & (F.col("case_mode") == mode)).drop("granularity", "case_mode")
+
+    def _wanted(self, kind: str, case_sensitive: bool) -> Column:
+        mode = CASE_MODES[case_sensitive]
+        self._has(kind, mode)
+        return (F.col("granularity") == GRANULARITIES[kind]) & (F.col("case_mode") == mode)
 
     def postings(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
-        """One index of those built; the others' folders aren't read."""
-        return self._mode("postings", kind, case_sensitive)
+        """``term, doc_id, sentence_id, n_terms, tf, positions`` of one index of those built; the others' folders aren't read."""
+        wanted = self._wanted(kind, case_sensitive)
+        return self._table("postings", lambda t: t.where(wanted & (F.col("term") != "")).select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*"))
 
     def lengths(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
-        return self._mode("lengths", kind, case_sensitive)
+        wanted = self._wanted(kind, case_sensitive)
+        return self._table("lengths", lambda t: t.where(wanted).drop("granularity", "case_mode"))
 
     def sentence_lookup(self) -> DataFrame:
         """Sentence to document and year."""
@@ -167,24 +251,33 @@ class Collection:
 
     # --- changing
 
-    def _write(self, docs: DataFrame, segment: str) -> None:
-        put = lambda rows, name: rows.write.parquet(f"{self.path}/{name}/segment={segment}")
-        put(docs, "docs")
-        docs = self.spark.read.parquet(f"{self.path}/docs/segment={segment}")
-        put(sentences(docs.select("doc_id", "text")), "sentences")
-        rows = self.spark.read.parquet(f"{self.path}/sentences/segment={segment}")
-        for granularity in GRANULARITIES.values():
-            for mode in self.modes:
-                own = f"{segment}/granularity={granularity}/case_mode={mode}"
-                unit_lengths(docs, granularity, mode, rows, self.stop_words).write.parquet(f"{self.path}/lengths/segment={own}")
-                post = postings(docs, granularity, mode, rows, self.stop_words).drop("granularity", "case_mode")
-                # ranges are chosen by a sample: written first, so that the sample doesn't count everything a second time
-                post.write.parquet(f"{self.path}/unsorted/segment={own}")
-                post = self.spark.read.schema(post.schema).parquet(f"{self.path}/unsorted/segment={own}")
-                post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "sentence_id").write.parquet(f"{self.path}/postings/segment={own}")
-
-        fs, folder = self._folder(f"unsorted/segment={segment}")
-        fs.delete(folder, True)
+    def _write(self, docs: DataFrame, segment: str, sentence_rows: DataFrame | None = None) -> None:
+        docs.write.parquet(f"{self.path}/docs/segment={segment}")
+        for kind in self.kinds:
+            self._write_kind(kind, segment, sentence_rows)
+
+    def _write_kind(self, kind: str, segment: str, sentence_rows: DataFrame | None = None) -> None:
+        """Sentences, for their kind, and the indexes of one kind, from a segment's stored texts."""
+        read = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
+        rows = None
+        if kind == "sentence":
+            made = sentence_rows if sentence_rows is not None else sentences(read(f"docs/segment={segment}").select("doc_id", "text"))
+            made.write.parquet(f"{self.path}/sentences/segment={segment}")
+            rows = read(f"sentences/segment={segment}")
+        granularity = GRANULARITIES[kind]
+        for mode in self.modes:
+            own = f"segment={segment}/granularity={granularity}/case_mode={mode}"
+            posting_lists(units(read(f"docs/segment={segment}"), granularity, rows), mode, self.stop_words).write.parquet(f"{self.path}/postings/{own}")
+            every = read(f"postings/{own}").where("term = ''").select(F.explode("entries").alias("e"))
+            every.select("e.doc_id", "e.sentence_id", "e.n_terms").write.parquet(f"{self.path}/lengths/{own}")
+
+    def extend(self, kind: str) -> None:
+        """Brings what a further kind of search needs to the segments in use. No writer may be at work."""
+        if kind not in self.kinds:
+            for entry in self.log():
+                if entry["adds"]:
+                    self._write_kind(kind, entry["segment"])
+            self.kinds.append(kind)
 
     def build(self, docs: DataFrame) -> None:
         """Starts anew with these documents."""
@@ -212,7 +305,10 @@ class Collection:
         return True
 
     def compact(self) -> None:
-        self.build(self.docs())
+        """What is left as one segment; stored sentences are copied, not made again."""
+        segment = f"s{uuid.uuid4().hex}"
+        self._write(self.docs(), segment, self.sentences() if "sentence" in self.kinds else None)
+        self._commit(segment, adds=True, hides=False, anew=True)
 
     def vacuum(self) -> None:
         """Deletes the files of segments that no entry in use names. No writer or older reader may be at work."""

@@ -94,10 +94,12 @@ def counted_texts(units: DataFrame, names: dict[Leaf, str], case_sensitive: bool
 
 
 def counted_postings(post: DataFrame, lengths: DataFrame, keys: list[str], names: dict[Leaf, str], every_unit: bool) -> DataFrame:
-    """``keys, _len`` and the counts of the leaves for units with any of them, or for every unit."""
-    found = post.where(posting_filter(list(names))).groupBy(*keys).agg(*(posting_count(leaf).cast("int").alias(n) for leaf, n in names.items())) if names else post.select(*keys).limit(0)
-    own = lengths.select(*keys, F.col("n_terms").alias("_len"))
-    return own.join(found, keys, "left").fillna(0, list(names.values())) if every_unit else found.join(own, keys)
+    """``keys, _len`` and the counts of the leaves for units with any of them, or for every unit that has a text."""
+    found = post.where(posting_filter(list(names)) if names else F.lit(False)).groupBy(*keys).agg(F.max("n_terms").alias("_len"), *(posting_count(leaf).cast("int").alias(n) for leaf, n in names.items()))
+    if not every_unit:
+        return found  # lengths are in the postings: a join would read, and may broadcast, a row per unit
+    own = lengths.select(*keys, F.col("n_terms").alias("_len")).where("_len is not null")
+    return own.join(found.drop("_len"), keys, "left").fillna(0, list(names.values()))
 
 
 def scored(tree: Group, names: dict[Leaf, str], coord: bool = False) -> Column:

@@ -68,13 +68,15 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "text", *(c.alias(n) for n, c in fields.items())).join(years, "doc_id", "left")
 
 
-def _collection(spark: SparkSession, sf_dir: str, mode: str = "ci") -> index.Collection:
-    """The stored index of a folder's documents in a case mode, built by the first query that needs it in a session."""
+def _collection(spark: SparkSession, sf_dir: str, mode: str = "ci", kind: str = "document") -> index.Collection:
+    """The stored index of a folder's documents in a case mode, built by the first query of a session that needs it; a
+    kind of search that no query asked for costs nothing."""
     known = spark.sparkContext.__dict__.setdefault("_folium_collections", {})
     if (sf_dir, mode) not in known:
-        made = index.Collection(spark, new_folder(spark, "collection"), modes=[mode])
+        made = index.Collection(spark, new_folder(spark, "collection"), modes=[mode], kinds=[kind])
         made.build(_papers(spark, sf_dir))
         known[sf_dir, mode] = made
+    known[sf_dir, mode].extend(kind)
     return known[sf_dir, mode]
 
 
@@ -281,13 +283,13 @@ def _sentence_query() -> Query:
 
 @query(_SENT_SQL + "SELECT doc_id AS identifier, round(sum(score), 6) AS score, count(*) AS n_sentences, min(sentence_id) AS first_sentence FROM h GROUP BY doc_id")
 def sentence_search_grouped(spark, sf_dir):
-    h = search.search(_sentence_query(), collection=_collection(spark, sf_dir))
+    h = search.search(_sentence_query(), collection=_collection(spark, sf_dir, kind="sentence"))
     return h.select("identifier", _r("score").alias("score"), F.size("matching_sentences").cast("long").alias("n_sentences"), F.array_min(F.transform("matching_sentences", lambda s: s["sentence_id"])).alias("first_sentence"))
 
 
 @query(_SENT_SQL + ", g AS (SELECT doc_id, sum(score) AS score, count(*) AS n FROM h GROUP BY doc_id) SELECT count(*) AS n_hits, CAST(sum(n) AS BIGINT) AS n_sentences, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM g")
 def score_bounds(spark, sf_dir):
-    s = search.summary(search.search(_sentence_query(), collection=_collection(spark, sf_dir)))
+    s = search.summary(search.search(_sentence_query(), collection=_collection(spark, sf_dir, kind="sentence")))
     return s.select("n_hits", "n_sentences", _r("max_score").alias("max_score"), _r("min_score").alias("min_score"))
 
 
@@ -300,7 +302,7 @@ def doc_details(spark, sf_dir):
 
 @query(_SENT_SQL + "SELECT h.doc_id, h.sentence_id, round(score, 6) AS score, sentence, \"begin\", \"end\" FROM h JOIN sent USING (doc_id, sentence_id)")
 def doc_details_with_sentences(spark, sf_dir):
-    stored = _collection(spark, sf_dir)
+    stored = _collection(spark, sf_dir, kind="sentence")
     docs, rows = stored.docs(), stored.sentences()
     out = details.details(search.search(_sentence_query(), collection=stored), docs, rows, include=["corpora"])
     return out.select("doc_id", F.explode("matching").alias("m")).select("doc_id", "m.sentence_id", _r("m.score").alias("score"), "m.sentence", "m.begin", "m.end")
@@ -308,7 +310,7 @@ def doc_details_with_sentences(spark, sf_dir):
 
 @query(_SENT_SQL + "SELECT doc_id, count(*) AS n, CAST(sum(\"end\" - \"begin\") AS BIGINT) AS chars, md5(string_agg(sentence, '|' ORDER BY sentence_id)) AS h FROM sent WHERE doc_id IN (SELECT doc_id FROM h) GROUP BY doc_id")
 def doc_all_sentences(spark, sf_dir):
-    stored = _collection(spark, sf_dir)
+    stored = _collection(spark, sf_dir, kind="sentence")
     docs, rows = stored.docs(), stored.sentences()
     out = details.details(search.search(_sentence_query(), collection=stored), docs, rows, include=["corpora"], all_sentences=True)
     a = F.col("all_sentences")
@@ -345,9 +347,9 @@ def index_search(spark, sf_dir):
     return search.search(q, collection=_collection(spark, sf_dir)).select(F.col("identifier").alias("doc_id"), _r("score").alias("score"))
 
 
-def _changed_collection(spark, sf_dir) -> index.Collection:
+def _changed_collection(spark, sf_dir, kind: str, modes: list[str]) -> index.Collection:
     """A collection of its own that lost the toxic documents and got the benchmark's passages, some in place of documents."""
-    c = index.Collection(spark, new_folder(spark, "changed"), modes=["ci"])
+    c = index.Collection(spark, new_folder(spark, "changed"), modes=modes, kinds=[kind])
     c.build(_docs(spark, sf_dir))
     c.remove(_t(spark, sf_dir, "labels").where("toxic = 1"))
     c.add(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.array(F.lit("en")).alias("corpora")))
@@ -360,12 +362,12 @@ _CHANGED = "documents AS (SELECT doc_id, text, lang, '' AS source FROM main.docu
 @query(_search_sql({"a": _tf("er"), "b": _tf("ing")}, "a > 0 OR b > 0", ["a", "b"]).replace("WITH ", f"WITH {_CHANGED}, ", 1) + _DOC)
 def changed_index_search(spark, sf_dir):
     q = Query(keyword="er ing", corpora=["en"])
-    return search.search(q, collection=_changed_collection(spark, sf_dir)).select("identifier", _r("score").alias("score"))
+    return search.search(q, collection=_changed_collection(spark, sf_dir, "document", ["ci"])).select("identifier", _r("score").alias("score"))
 
 
 @query(f"WITH {_CHANGED}, {_SENTENCES} SELECT doc_id, count(*) AS n, md5(string_agg(sentence, '|' ORDER BY sentence_id)) AS h FROM sent GROUP BY doc_id")
 def changed_index_sentences(spark, sf_dir):
-    c = _changed_collection(spark, sf_dir)
+    c = _changed_collection(spark, sf_dir, "sentence", [])
     c.compact()
     c.vacuum()
     return c.sentences().groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "sentence"))), lambda s: s["sentence"]), "|")).alias("h"))

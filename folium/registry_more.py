@@ -78,7 +78,7 @@ def doc_search_top(spark, sf_dir):
 
 @query(_SENT_SQL + "SELECT doc_id AS identifier, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_id) AS place, sentence_id, round(score, 6) AS score FROM h")
 def sentence_order(spark, sf_dir):
-    h = search.search(_sentence_query(), collection=_collection(spark, sf_dir))
+    h = search.search(_sentence_query(), collection=_collection(spark, sf_dir, kind="sentence"))
     rows = h.select("identifier", F.posexplode("matching_sentences").alias("place", "m"))
     return rows.select("identifier", (F.col("place") + 1).cast("long").alias("place"), "m.sentence_id", _r("m.score").alias("score"))
 
@@ -329,14 +329,14 @@ def numbered_documents(spark, sf_dir):
 
 @query("SELECT doc_id, sentence_id, strftime(o_orderdate, '%Y-%m') AS year FROM (WITH " + _SENT_SQL.split("WITH ", 1)[1].split(", u AS", 1)[0] + " SELECT doc_id, sentence_id FROM sent) s LEFT JOIN orders ON o_orderkey = s.doc_id")
 def sentence_lookup(spark, sf_dir):
-    return _collection(spark, sf_dir).sentence_lookup()
+    return _collection(spark, sf_dir, kind="sentence").sentence_lookup()
 
 
 @query(_search_sql({"a": _tf("er")}, "a > 0", ["a"], restrict="true", units="(SELECT * FROM w WHERE lang = 'en')") + "SELECT doc_id AS identifier, round(score, 6) AS score, 'main' AS document_type FROM h UNION ALL SELECT identifier, score, 'external' FROM (" + _search_sql({"a": _tf("er")}, "a > 0", ["a"], restrict="true", units="(SELECT * FROM w WHERE lang = 'de')") + _DOC + ")")
 def attached_collection_search(spark, sf_dir):
     parts = []
     for lang in ("en", "de"):
-        c = index.Collection(spark, new_folder(spark, "part"), modes=["ci"])
+        c = index.Collection(spark, new_folder(spark, "part"), modes=["ci"], kinds=["document"])
         c.build(_papers(spark, sf_dir).where(F.array_contains("corpora", lang)))
         parts.append(c)
     parts[0].attach(parts[1])

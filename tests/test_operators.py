@@ -248,6 +248,54 @@ def test_term_filters_reach_the_files(spark, papers, tmp_path):
     assert c.sentence_lookup().count() == 5
 
 
+def test_lists_in_blocks_are_the_postings_and_shuffle_nothing(spark):
+    rows = [(1, "The fish of a Fish, the end."), (2, ""), (3, None), (4, "end x" + "y" * 300 + " fish it's 3.5"), (5, "the of"), (6, "fish fish")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for mode in index.CASE_MODES:
+        expected = sorted(map(tuple, index.postings(docs, case_mode=mode).select("term", "doc_id", "tf", "positions").collect()))
+        for block in (1, 30, index.BLOCK):
+            lists = index.posting_lists(index.units(docs), mode, block=block)
+            assert "Exchange" not in spark.sparkContext._jvm.PythonSQLUtils.explainString(index.posting_lists(index.units(spark.range(9).selectExpr("id doc_id", "'a b' text")), mode)._jdf.queryExecution(), "simple")
+            e = lists.select("term", F.explode("entries").alias("e")).select("term", "e.*").collect()
+            assert sorted((r["term"], r["doc_id"], r["tf"], r["positions"]) for r in e if r["term"]) == expected
+            lengths = {r["doc_id"]: r["n_terms"] for r in index.unit_lengths(docs, case_mode=mode).collect()}
+            assert {r["doc_id"]: r["n_terms"] for r in e if not r["term"]} == lengths and all(r["n_terms"] == lengths[r["doc_id"]] for r in e)
+
+
+def test_a_kind_is_indexed_when_asked_for(spark, papers, tmp_path):
+    c = index.Collection(spark, f"file://{tmp_path}/k", modes=["ci"], kinds=["document"])
+    c.build(papers)
+    q = {"keyword": "dna", "corpora": ["C. elegans"]}
+    assert [r["identifier"] for r in search.search(Query(**q), collection=c).collect()] == [1] and not (tmp_path / "k" / "sentences").exists()
+    with pytest.raises(ValueError, match="sentence"):
+        search.search(Query(kind="sentence", **q), collection=c)
+    c.remove([2])
+    c.extend("sentence")
+    assert [len(r["matching_sentences"]) for r in search.search(Query(kind="sentence", **q), collection=c).collect()] == [2]
+    assert c.sentences().where("doc_id = 2").isEmpty() and c.lengths("sentence").count() == 3
+
+
+def test_compaction_copies_stored_sentences(spark, papers, tmp_path, monkeypatch):
+    c = index.Collection(spark, f"file://{tmp_path}/t", modes=[], kinds=["sentence"])
+    c.build(papers)
+    c.remove([1])
+    monkeypatch.setattr(index, "sentences", lambda docs: pytest.fail("split again"))
+    c.compact()
+    c.vacuum()
+    assert sorted(r["doc_id"] for r in c.sentences().collect()) == [2, 2, 3] and not (tmp_path / "t" / "postings").exists()
+
+
+def test_a_sentence_search_reads_no_row_of_other_sentences(spark, papers, tmp_path):
+    """A row per unit, small in a file and large in memory, was a join's side and could be broadcast."""
+    c = index.Collection(spark, f"file://{tmp_path}/n", modes=["ci"])
+    c.build(papers.unionByName(papers.limit(1).withColumn("doc_id", F.lit(9).cast("long")).withColumn("text", F.lit(None).cast("string"))))
+    hits = search.search(Query(kind="sentence", keyword="dna", corpora=["C. elegans"]), collection=c)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    assert not any("/lengths/" in p and "n_terms" in p for p in plan.split("\n\n") if "Scan parquet" in p)
+    # a document without a text is in no answer, also not by what it lacks
+    assert [r["identifier"] for r in search.search(Query(exclude_keyword="dna", corpora=["C. elegans"]), collection=c).collect()] == [2]
+
+
 def test_stream_keeps_the_newest(spark, tmp_path):
     schema, source, out = "doc_id long, text string", f"{tmp_path}/in", f"{tmp_path}/out"
     for batch in ([(1, "old text."), (2, "two.")], [(1, "new text. More.")]):
