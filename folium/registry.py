@@ -312,7 +312,8 @@ def doc_details_with_sentences(spark, sf_dir):
 def doc_all_sentences(spark, sf_dir):
     stored = _collection(spark, sf_dir, kind="sentence")
     docs, rows = stored.docs(), stored.sentences()
-    out = details.details(search.search(_sentence_query(), collection=stored), docs, rows, include=["corpora"], all_sentences=True)
+    # which of them match isn't shown, so they aren't joined a second time
+    out = details.details(search.search(_sentence_query(), collection=stored).drop("matching_sentences"), docs, rows, include=["corpora"], all_sentences=True)
     a = F.col("all_sentences")
     return out.select("doc_id", F.size(a).cast("long").alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]).alias("chars"), F.md5(F.array_join(F.transform(a, lambda x: x["sentence"]), "|")).alias("h"))
 
