@@ -102,13 +102,25 @@ def counted_postings(post: DataFrame, lengths: DataFrame, keys: list[str], names
     return own.join(found.drop("_len"), keys, "left").fillna(0, list(names.values()))
 
 
+def squared_idf(n: Column, df: Column) -> Column:
+    """``idf^2`` of a word, for one row a search. By the C library, as in SQL engines: the JVM's logarithm can differ in its
+    last bit, and products in another order do, which puts sums that are equal in one engine apart in the other."""
+
+    @F.udf("double")
+    def run(n, df):
+        import math
+
+        return math.pow(1 + math.log(n / (df + 1)), 2) if n else None
+
+    return run(n, df)
+
+
 def scored(tree: Group, names: dict[Leaf, str], coord: bool = False) -> Column:
-    """Score by a unit's counts and the frequencies beside them."""
+    """Score by a unit's counts and the words' squared idf beside them."""
     leaves, total = tree.leaves(), F.lit(0.0)
     for leaf in leaves:
         tf = F.col(names[leaf])
-        idf = 1 + F.log(F.col("_n") / (F.col(f"{names[leaf]}_df") + 1))
-        total = total + (F.when(tf > 0, F.lit(1.0)).otherwise(0.0) if leaf.wildcard else F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(F.col("_len").cast("double"))).otherwise(0.0))
+        total = total + (F.when(tf > 0, F.lit(1.0)).otherwise(0.0) if leaf.wildcard else F.when(tf > 0, F.sqrt(tf.cast("double")) * F.col(f"{names[leaf]}_idf2") / F.sqrt(F.col("_len").cast("double"))).otherwise(0.0))
     if coord and leaves:
         total = total * reduce(lambda a, b: a + b, [(F.col(names[leaf]) > 0).cast("int") for leaf in leaves]) / len(leaves)
     return total
@@ -185,7 +197,9 @@ def search(q: Query, docs: DataFrame | None = None, lexicon: DataFrame | None =
         counted = counted_texts(units(), names, q.case_sensitive, stop_words)
         n_units = counted.agg(F.count("*").alias("_n"))
     # one row each
-    facts = n_units.crossJoin(counted.agg(F.lit(1).alias("_one"), *(F.count_if(F.col(names[leaf]) > 0).alias(f"{names[leaf]}_df") for leaf in tree.leaves())))
+    words = [names[leaf] for leaf in tree.leaves()]
+    facts = n_units.crossJoin(counted.agg(F.lit(1).alias("_one"), *(F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in words)))
+    facts = facts.select(*(squared_idf(F.col("_n"), F.col(f"{n}_df")).alias(f"{n}_idf2") for n in words))
     count = {leaf: F.col(n) for leaf, n in names.items()}
     kept = counted.where(holds(tree, count)).where(~holds(without, count)) if without.leaves(False) else counted.where(holds(tree, count))
     kept = kept.join(allowed, "doc_id")

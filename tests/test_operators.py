@@ -157,6 +157,18 @@ def test_a_search_returns_all_hits_unless_asked_for_the_first(spark, papers):
     assert search.federated(q, papers, papers, limit=1).count() == 1 and search.federated(q, papers, papers).count() == 4
 
 
+def test_scores_are_sql_s_to_the_last_bit(spark):
+    """Equal scores in SQL are equal here, so that ties are broken alike."""
+    import duckdb
+
+    rows = [(i, " ".join(["fish"] * (i % 7) + ["bird"] * (i % 3) + ["x"] * (i % 29 + 1)), ["en"]) for i in range(200)]
+    hits = search.search(Query(keyword="fish bird", corpora=["en"]), spark.createDataFrame(rows, "doc_id long, text string, corpora array<string>")).collect()
+    values = ", ".join(f"({i}, {i % 7}, {i % 3}, {i % 7 + i % 3 + i % 29 + 1})" for i in range(200))
+    part = lambda n: f"CASE WHEN {n} > 0 THEN sqrt({n}::DOUBLE) * pow(1 + ln(200::DOUBLE / ((SELECT count(*) FROM c WHERE {n} > 0) + 1)::DOUBLE), 2) / sqrt(l::DOUBLE) ELSE 0 END"
+    expected = duckdb.execute(f"WITH c(i, a, b, l) AS (VALUES {values}) SELECT i, {part('a')} + {part('b')} AS score FROM c WHERE a > 0 OR b > 0 ORDER BY score DESC, i").fetchall()
+    assert [(r["identifier"], r["score"]) for r in hits] == expected
+
+
 def test_order_by_year(papers):
     q = Query(keyword="dna binding", corpora=["C. elegans", "S. cerevisiae"], sort_by_year=True)
     assert [r["year"] for r in search.search(q, papers).collect()] == ["2016", "2014-10-30", "2000-08"]
