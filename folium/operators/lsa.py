@@ -61,41 +61,102 @@ def shape(rows: DataFrame, row: str, col: str) -> DataFrame:
     return rows.agg(F.countDistinct(row).alias("n_rows"), (F.max(col) + 1).alias("n_cols"), F.count_if(F.lit(True)).alias("nnz"))
 
 
-def block_pairs(vectors: DataFrame, threshold: float, inclusive: bool = False, key: str = "vec_id", vector: str = "embedding", rows_per_block: int = 512) -> DataFrame:
-    """``i, j, cos`` of all pairs i < j over a threshold.
-
-    Vectors are packed into blocks of rows and every pair of blocks meets once, so a product of two matrices does the
-    work of a quarter million row pairs and only pairs over the threshold become rows. All pairs is what is asked for;
-    the work is quadratic, its memory is two blocks.
-    """
+def _met_blocks(vectors: DataFrame, key: str, vector: str, rows_per_block: int) -> DataFrame:
+    """``b, k, v, b2, k2, v2``: every pair of blocks of rows once, spread evenly. A row is sent to half the blocks in its own type."""
     n = vectors.count()
-    blocks = max(1, -(-n // rows_per_block))
-    packed = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    packed = packed.groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"))
+    blocks = max(1, -(-n // rows_per_block), min(8, n // 1024))
+    packed = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
+    packed = packed.groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("e")).select("b", F.col("e.k").alias("k"), F.col("e.v").alias("v"))
     other = packed.select(*(F.col(c).alias(f"{c}2") for c in ("b", "k", "v")))
-    sent = packed.withColumn("b2", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1).cast("long")))).join(other, "b2")
+    # a block meets itself and the blocks of half the circle after it; of an even circle's opposite blocks, one meets the other
+    steps = F.sequence(F.lit(0), F.lit(blocks // 2) if blocks % 2 else F.when(F.col("b") < blocks // 2, blocks // 2).otherwise(max(0, blocks // 2 - 1))) if blocks > 1 else F.array(F.lit(0))
+    sent = packed.withColumn("b2", F.explode(F.transform(steps, lambda d: F.pmod(F.col("b") + d, F.lit(blocks)))))
+    tasks = min(4 * blocks, 1000)
+    return sent.repartition(tasks, "b2").join(other.repartition(tasks, "b2").hint("merge"), "b2").select("b", "k", "v", "b2", "k2", "v2")
 
-    def run(frames):
+
+def _block_task(threshold: float, inclusive: bool, links_only: bool, tile: int = 1024):
+    """A task over pairs of blocks: all pairs over the threshold, or links that join the same rows."""
+
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        def unit(v):
-            m = np.array([np.asarray(x, float) for x in v])
+        def rows(ks, vs, at):
+            v = vs[at].values
+            k, n = ks[at].values.to_numpy(), len(v)
+            m = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
             norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return m, np.where(norm > 0, norm, 1.0)
-
-        for f in frames:
-            for b, b2, k, v, k2, v2 in zip(f["b"], f["b2"], f["k"], f["v"], f["k2"], f["v2"], strict=True):
-                k, k2 = np.asarray(k), np.asarray(k2)
-                (m, s), (m2, s2) = unit(v), unit(v2)
-                # a zero vector's product is taken as it is
-                c = (m @ m2.T) / (np.where((m == 0).all(1, keepdims=True) | (m2 == 0).all(1), 1.0, s * s2.T))
-                hit = c >= threshold if inclusive else c > threshold
-                hit &= (k[:, None] < k2[None, :]) if b == b2 else (k[:, None] != k2[None, :])
-                x, y = np.nonzero(hit)
-                yield pd.DataFrame({"i": np.minimum(k[x], k2[y]), "j": np.maximum(k[x], k2[y]), "cos": c[x, y]})
-
-    return sent.select("b", "b2", "k", "v", "k2", "v2").mapInPandas(run, "i long, j long, cos double")
+            return k, m, np.where(norm > 0, norm, 1.0), ~m.any(axis=1)
+
+        def hits(a, b, own):
+            (k, m, s, zero), (k2, m2, s2, zero2) = a, b
+            c = m @ m2.T
+            # a zero vector's product is taken as it is
+            c /= np.where(zero[:, None] | zero2, 1.0, s * s2.T) if zero.any() or zero2.any() else s * s2.T
+            hit = c >= threshold if inclusive else c > threshold
+            hit &= (k[:, None] < k2[None, :]) if own else (k[:, None] != k2[None, :])
+            x, y = np.divmod(np.flatnonzero(hit), len(k2))
+            return x, y, c[x, y]
+
+        def merged(label, p, q):
+            """Labels after rows labelled p and q are joined; a label is the least row of its set."""
+            while (apart := p != q).any():
+                p, q = p[apart], q[apart]
+                up = np.arange(len(label))
+                np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+                while not np.array_equal(far := up[up], up):
+                    up = far
+                label, p, q = up[label], up[p], up[q]
+            return label
+
+        for t in batches:
+            b, b2, k, v, k2, v2 = (t.column(c) for c in ("b", "b2", "k", "v", "k2", "v2"))
+            for at in range(t.num_rows):
+                own = b[at].as_py() == b2[at].as_py()
+                one = rows(k, v, at)
+                two = one if own else rows(k2, v2, at)
+                n, shift = len(one[0]), 0 if own else len(one[0])
+                label = np.arange(n + (0 if own else len(two[0])))
+                for x0 in range(0, n, tile):
+                    # in a block's pair with itself a link is found from its lesser key, which may stand in either tile
+                    for y0 in range(0, len(two[0]), tile):
+                        xs, ys = slice(x0, x0 + tile), slice(y0, y0 + tile)
+                        if links_only:
+                            lx, ly = label[xs], label[y0 + shift : min(y0 + tile, len(two[0])) + shift]
+                            if (own and y0 < x0) or ((lx == lx[0]).all() and (ly == lx[0]).all()):
+                                continue  # found already, or nothing here is apart
+                        x, y, c = hits([z[xs] for z in one], [z[ys] for z in two], own and not (links_only and x0 != y0))
+                        if links_only:
+                            label = merged(label, lx[x], ly[y])
+                        elif len(x):
+                            i, j = one[0][xs][x], two[0][ys][y]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(c)], ["i", "j", "cos"])
+                if links_only:
+                    keys = one[0] if own else np.concatenate([one[0], two[0]])
+                    node = np.flatnonzero(label != np.arange(len(label)))
+                    i, j = keys[label[node]], keys[node]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["i", "j"])
+
+    return run
+
+
+def block_pairs(vectors: DataFrame, threshold: float, inclusive: bool = False, key: str = "vec_id", vector: str = "embedding", rows_per_block: int = 16384) -> DataFrame:
+    """``i, j, cos`` of all pairs i < j over a threshold.
+
+    Vectors are packed into blocks of rows and every pair of blocks meets once in a task, which multiplies tile by tile;
+    only pairs over the threshold become rows. All pairs is what is asked for; the work is quadratic, its memory is two
+    blocks and a tile, and a row is sent once for every 32768 rows.
+    """
+    return _met_blocks(vectors, key, vector, rows_per_block).mapInArrow(_block_task(threshold, inclusive, False), "i long, j long, cos double")
+
+
+def block_links(vectors: DataFrame, threshold: float, inclusive: bool = False, key: str = "vec_id", vector: str = "embedding", rows_per_block: int = 16384) -> DataFrame:
+    """``i, j``: of the pairs of ``block_pairs`` as many as connect the same rows, at most one for each row and pair of blocks.
+
+    Every pair that could join two sets is looked at; pairs within a set known to hang together aren't multiplied.
+    """
+    return _met_blocks(vectors, key, vector, rows_per_block).mapInArrow(_block_task(threshold, inclusive, True), "i long, j long")
 
 
 def sparse_pairs(rows: DataFrame, threshold: float, key: str = "doc_id", term: str = "term", value: str = "w") -> DataFrame:

@@ -582,7 +582,7 @@ def pair_stats(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_COS}, b AS (SELECT i, j FROM hit UNION ALL SELECT j, i FROM hit), r(node, seen) AS (SELECT DISTINCT i, i FROM b UNION SELECT r.node, b.j FROM r JOIN b ON b.i = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def similar_components(spark, sf_dir):
-    return lsa.components(_pairs(spark, sf_dir))
+    return lsa.components(lsa.block_links(_t(spark, sf_dir, "embeddings"), 0.35))
 
 
 @query(f"WITH {_COS} SELECT round(cos, 6) AS cos, i, j, 'vector ' || i AS i_name, 'vector ' || j AS j_name FROM hit WHERE cos >= 0.4")

@@ -244,7 +244,7 @@ def all_pair_stats(spark, sf_dir):
 def similar_sets(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     names = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"))
-    found = lsa.component_sets(lsa.components(lsa.block_pairs(e, 0.4)), names)
+    found = lsa.component_sets(lsa.components(lsa.block_links(e, 0.4)), names)
     return found.select("component", "size", F.array_join("names", "|").alias("names"))
 
 

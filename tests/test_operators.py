@@ -402,6 +402,28 @@ def test_pairs_components_and_svd(spark):
     assert sorted(lsa.symmetric_eigen(m, 2)[0].tolist()) == pytest.approx([-2.0, 3.0])
 
 
+def test_links_connect_what_pairs_do_and_are_few(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    near = [(int(k), (r.normal(size=3) + (5.0 * (k % 4 == 0))).tolist()) for k in r.permutation(2300)]
+    far = [(9000 + k, [0.0] * (3 + k) + [1.0] + [0.0] * (8 - k)) for k in range(5)]  # on their own, and a zero vector
+    rows = [(k, [float(x) for x in v] + [0.0] * 9) for k, v in near] + [(k, v) for k, v in far] + [(9100, [0.0] * 12)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    m = np.array([x for _, x in rows], np.float32).astype(float)
+    norm = np.sqrt((m * m).sum(1))
+    unit, ids = m / np.where(norm > 0, norm, 1)[:, None], np.array([k for k, _ in rows])
+    x, y = np.nonzero(np.triu(unit @ unit.T > 0.99999, 1))
+    expected = {(min(a, b), max(a, b)) for a, b in zip(ids[x].tolist(), ids[y].tolist(), strict=True)}
+    for size in (300, 700, 16384):  # 8, 4 and 2 blocks
+        pairs = lsa.block_pairs(v, 0.99999, rows_per_block=size).collect()
+        assert {(p["i"], p["j"]) for p in pairs} == expected and len(pairs) == len(expected)
+        links = lsa.block_links(v, 0.99999, rows_per_block=size)
+        assert links.count() < len(rows) * 8
+        of = lambda pairs: {q["node"]: q["component"] for q in lsa.components(pairs).collect()}
+        assert of(links) == of(spark.createDataFrame(sorted(expected), "i long, j long"))
+
+
 def test_xmi_files_keep_text_and_offsets(spark, tmp_path):
     text = "a & b < c > \"d\" 'e'\n\tend \U0001f600"
     note = ("Token", 0, len(text), "a & b", "x\ny", None, "c<d", None)
