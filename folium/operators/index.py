@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.functions.text import DEFAULT_STOP_WORDS, LONGEST, analyzed, analyzed_places, found_words
+from folium.functions.text import DEFAULT_STOP_WORDS, LONGEST, analyzed, analyzed_places
 from folium.operators.annotate import sentences
 from folium.session import shared_root
 
@@ -39,14 +40,30 @@ def unit_lengths(docs: DataFrame, granularity: str = "fulltext", case_mode: str
     return units(docs, granularity, sentence_rows).select("doc_id", "sentence_id", F.size(analyzed(F.col("text"), stop_words, case_mode == "cs")).alias("n_terms"))
 
 
+def _letters(spark: SparkSession) -> bytes:
+    """Which code points are letters or digits, as the regular expressions of the JVM have it: bits, compressed. Python's tables are of another Unicode version."""
+    import numpy as np
+
+    sc = spark.sparkContext
+    if not hasattr(sc, "_folium_letters"):
+        every = np.array([*range(0xD800), *range(0xE000, 0x110000)], np.uint32)
+        kept = sc._jvm.java.util.regex.Pattern.compile("[^\\p{L}\\p{N}]").matcher(every.tobytes().decode("utf-32-le")).replaceAll(" ")
+        table = np.zeros(0x110000, bool)
+        table[every] = np.frombuffer(kept.encode("utf-32-le"), np.uint32) != 32
+        sc._folium_letters = zlib.compress(np.packbits(table).tobytes())
+    return sc._folium_letters
+
+
 def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """``term, entries`` of ``rows(doc_id, sentence_id, text)``; an entry is ``doc_id, sentence_id, n_terms, tf, positions``.
 
     A task inverts its units in blocks, as they come: a block has a row for each of its terms, sorted by term, so that
     pages of a file cover few terms, and nothing is shuffled. The empty term comes first and lists every unit of the block.
+    Texts cross to Python whole and are split there as ``found_words`` splits them, all bytes of a block at once: an array
+    of words costs several times as much to hand over.
     """
     stop = list(DEFAULT_STOP_WORDS if stop_words is None else stop_words)
-    longest, int_list = LONGEST, T.ArrayType(T.IntegerType())
+    longest, int_list, packed = LONGEST, T.ArrayType(T.IntegerType()), _letters(rows.sparkSession)
     entry = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("sentence_id", T.IntegerType()), T.StructField("n_terms", T.IntegerType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", int_list)])
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("entries", T.ArrayType(entry))])
 
@@ -55,6 +72,44 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        letters = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
+        ascii_letters = np.append(letters[:128], np.zeros(128, bool))
+
+        def split(texts):
+            """Words of texts, one after the other, and how many each text has: runs of letters and digits, joined by single ``'`` and ``.`` between two of them."""
+            bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+            data = texts.buffers()[2]
+            b = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+            bounds = bounds - bounds[0]
+            word = ascii_letters[b]
+            lead = np.flatnonzero(b >= 0xC0)
+            if len(lead):
+                first = b[lead]
+                more = 1 + (first >= 0xE0) + (first >= 0xF0)
+                code = (first & (0x3F >> more)).astype(np.int32)
+                for k in (1, 2, 3):
+                    has = more >= k
+                    code[has] = code[has] << 6 | (b[lead[has] + k] & 0x3F)
+                good = letters[code]
+                word[lead] = good
+                for k in (1, 2, 3):
+                    has = more >= k
+                    word[lead[has] + k] = good[has]
+            edge = np.zeros(len(b) + 1, bool)  # a text begins here
+            edge[bounds] = True
+            mark = np.flatnonzero((b == 39) | (b == 46))
+            mark = mark[(mark > 0) & (mark < len(b) - 1)]
+            mark = mark[word[mark - 1] & word[mark + 1] & ~edge[mark] & ~edge[mark + 1]]
+            word[mark] = True
+            begins, ends = word.copy(), word.copy()
+            begins[1:] &= ~word[:-1] | edge[1:-1]
+            ends[:-1] &= ~word[1:] | edge[1:-1]
+            begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            offsets = np.zeros(len(begins) + 1, np.int32)
+            np.cumsum(ends - begins, out=offsets[1:])
+            words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(b[word]))
+            return words, np.diff(np.searchsorted(begins, bounds))
+
         def starts(*keys):
             """Where one of the sorted keys changes, and the end."""
             new = np.zeros(len(keys[0]), bool)
@@ -69,10 +124,9 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
             return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)], ["term", "entries"])
 
         def inverted(held):
-            whole = [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
-            doc, sentence, found = whole
-            n, sizes = len(doc), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
-            coded = found.flatten().dictionary_encode()
+            doc, sentence, texts = [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
+            found, sizes = split(texts.cast(pa.string()))
+            n, coded = len(doc), found.dictionary_encode()
             words = coded.dictionary
             dropped = pc.or_(pc.is_in(words, value_set=pa.array(stop, words.type)), pc.greater(pc.utf8_length(words), longest)).to_numpy(zero_copy_only=False)
             order = pc.sort_indices(words).to_numpy()
@@ -85,10 +139,12 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
             kept = term >= 0
             term, row, place = term[kept], row[kept], place[kept]
             n_terms = np.bincount(row, minlength=n).astype(np.int32)
-            yield listed(pa.array([""]), [0, n], doc, sentence, pa.array(n_terms, mask=found.is_null().to_numpy(zero_copy_only=False)), np.zeros(n), np.zeros(n + 1), [])
+            yield listed(pa.array([""]), [0, n], doc, sentence, pa.array(n_terms, mask=texts.is_null().to_numpy(zero_copy_only=False)), np.zeros(n), np.zeros(n + 1), [])
             if len(term):
-                sort = np.argsort(term, kind="stable")
-                term, row, place = term[sort], row[sort], place[sort]
+                key = term.astype(np.int64) << 32 | np.arange(len(term))
+                key.sort()  # by term, then as they stand
+                sort, term = key & 0xFFFFFFFF, (key >> 32).astype(np.int32)
+                row, place = row[sort], place[sort]
                 at = starts(term, row)
                 own = row[at[:-1]]
                 bounds = starts(term[at[:-1]])
@@ -98,14 +154,16 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                size += b.num_rows + b.nbytes // 12
+                size += b.num_rows + b.nbytes // 6
             if size >= block:
                 yield from inverted(held)
                 held, size = [], 0
         if held:
             yield from inverted(held)
 
-    return rows.select("doc_id", "sentence_id", found_words(F.col("text"), case_mode == "cs").alias("words")).mapInArrow(run, schema)
+    text = F.col("text") if case_mode == "cs" else F.lower("text")
+    # bytes that are no UTF-8 become U+FFFD, which is in no word
+    return rows.select("doc_id", "sentence_id", F.make_valid_utf8(text).alias("text")).mapInArrow(run, schema)
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -251,8 +309,11 @@ class Collection:
 
     # --- changing
 
+    def _store(self, rows: DataFrame, place: str) -> None:
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{place}")  # a third less than by default
+
     def _write(self, docs: DataFrame, segment: str, sentence_rows: DataFrame | None = None) -> None:
-        docs.write.parquet(f"{self.path}/docs/segment={segment}")
+        self._store(docs, f"docs/segment={segment}")
         for kind in self.kinds:
             self._write_kind(kind, segment, sentence_rows)
 
@@ -262,14 +323,14 @@ class Collection:
         rows = None
         if kind == "sentence":
             made = sentence_rows if sentence_rows is not None else sentences(read(f"docs/segment={segment}").select("doc_id", "text"))
-            made.write.parquet(f"{self.path}/sentences/segment={segment}")
+            self._store(made, f"sentences/segment={segment}")
             rows = read(f"sentences/segment={segment}")
         granularity = GRANULARITIES[kind]
         for mode in self.modes:
             own = f"segment={segment}/granularity={granularity}/case_mode={mode}"
-            posting_lists(units(read(f"docs/segment={segment}"), granularity, rows), mode, self.stop_words).write.parquet(f"{self.path}/postings/{own}")
+            self._store(posting_lists(units(read(f"docs/segment={segment}"), granularity, rows), mode, self.stop_words), f"postings/{own}")
             every = read(f"postings/{own}").where("term = ''").select(F.explode("entries").alias("e"))
-            every.select("e.doc_id", "e.sentence_id", "e.n_terms").write.parquet(f"{self.path}/lengths/{own}")
+            self._store(every.select("e.doc_id", "e.sentence_id", "e.n_terms"), f"lengths/{own}")
 
     def extend(self, kind: str) -> None:
         """Brings what a further kind of search needs to the segments in use. No writer may be at work."""

@@ -274,6 +274,29 @@ def test_lists_in_blocks_are_the_postings_and_shuffle_nothing(spark):
             assert {r["doc_id"]: r["n_terms"] for r in e if not r["term"]} == lengths and all(r["n_terms"] == lengths[r["doc_id"]] for r in e)
 
 
+def test_texts_split_in_blocks_have_the_words_of_the_regular_expression(spark):
+    """Marks at edges of texts, letters of all lengths in UTF-8, letters that Python and the JVM don't agree on, bytes that are no text."""
+    texts = ["a.b", ".b", "a.", "'", "x''y it's.ok. a.'b", "İstanbul Straße 3.5 x", "é", "é.é'", "𐐀𝔘 x.𐐀", "日本.語 한", "a\u0301b \u0660\u00b2\u2167", "x\u00a0y\u2028z\x00w", "", None, "𞤀\U0001e5d0\U00016d40.ꟊ\U0001f600", "the.the the", "b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.sql("select 99L doc_id, cast(x'6bc3622ee9' as string) text")).coalesce(1)
+    for mode in index.CASE_MODES:
+        lists = index.posting_lists(index.units(rows), mode).select("term", F.explode("entries").alias("e")).where("term <> ''")
+        expected = index.postings(rows, case_mode=mode).where("doc_id < 99").select("term", "doc_id", "positions").collect()
+        assert sorted(map(tuple, lists.where("e.doc_id < 99").select("term", "e.doc_id", "e.positions").collect())) == sorted(map(tuple, expected))
+        assert [tuple(r) for r in lists.where("e.doc_id = 99").select("term", "e.n_terms").orderBy("term").collect()] == [("b", 2), ("k", 2)]
+
+
+def test_texts_and_not_arrays_of_words_are_handed_over_when_indexing(spark):
+    lists = index.posting_lists(index.units(spark.range(9).selectExpr("id doc_id", "'a b' text")))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(lists._jdf.queryExecution(), "formatted")
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+
+
+def test_stored_files_are_small(spark, papers, tmp_path):
+    c = index.Collection(spark, f"file://{tmp_path}/z", modes=["ci"])
+    c.build(papers)
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "z").rglob("part-*"))
+
+
 def test_a_kind_is_indexed_when_asked_for(spark, papers, tmp_path):
     c = index.Collection(spark, f"file://{tmp_path}/k", modes=["ci"], kinds=["document"])
     c.build(papers)
