@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 WORD_BREAK = "[ \\n\\t'\\\\/()\\[\\]{}:.;,!?]"
 #: Characters and two-character marks between tokens; the marks come first, so they win where both fit.
 TOKEN_BREAK = "[.;,!?] |[ \\n\\t'\"/\u2014()\\[\\]{}:]"
-#: A full stop after an initial or an abbreviation ends no sentence; the look-back is four characters.
-SENTENCE_BREAK = (
-    "(?:(?<![(>\\s][A-Z])(?<![(>\\s](?:Dr|[Ee]x|[Nn]o|[Vv]s|al|ca))(?<![(>\\s](?:[Ff]ig|[Vv]ol|i\\.e|e\\.g))\\.|[!?])[\\n\\t <]"
-)
+#: A full stop after an initial or an abbreviation ends no sentence; the look-back is five characters, and is done at breaks only.
+SENTENCE_BREAK = "[.!?](?=[\\n\\t <])(?<![(>\\s](?:[A-Z]|Dr|[Ee]x|[Nn]o|[Vv]s|al|ca|[Ff]ig|[Vv]ol|i\\.e|e\\.g)\\.)[\\n\\t <]"
 DEFAULT_STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 

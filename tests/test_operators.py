@@ -291,6 +291,14 @@ def test_texts_and_not_arrays_of_words_are_handed_over_when_indexing(spark):
     assert "MapInArrow" in plan and "regexp_extract_all" not in plan
 
 
+def test_sentence_breaks_are_those_of_the_pattern_that_looks_back_everywhere(spark):
+    plain = "(?:(?<![(>\\s][A-Z])(?<![(>\\s](?:Dr|[Ee]x|[Nn]o|[Vv]s|al|ca))(?<![(>\\s](?:[Ff]ig|[Vv]ol|i\\.e|e\\.g))\\.|[!?])[\\n\\t <]"
+    texts = ["(A. b", "A. b", " Dr. x! Ex. y? z. <", " i.e. a. b e.g. c al. d (Fig. 3. Vol.\n x", ">ca. x.. y .! z", " A. b \x0bA. c", "", ".", ". ", "A!. b A?. c", " No! vs? \U0001d400. A. \U0001d400. x", "x. A. B. y.\tz"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert rows.where(~F.split("text", plain, -1).eqNullSafe(F.split("text", fx.SENTENCE_BREAK, -1))).isEmpty()
+    assert fx.SENTENCE_BREAK.startswith("[.!?]")  # a pattern that starts with a look-back tries it at every character
+
+
 def test_stored_files_are_small(spark, papers, tmp_path):
     c = index.Collection(spark, f"file://{tmp_path}/z", modes=["ci"])
     c.build(papers)
