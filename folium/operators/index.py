@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
 
@@ -17,6 +18,10 @@ GRANULARITIES = {"document": "fulltext", "sentence": "sentence"}
 CASE_MODES = ["ci", "cs"]
 #: Words and units that become lists together: about 150 MB in a worker.
 BLOCK = 1 << 21
+#: Bytes of packed lists that are unpacked together.
+UNPACKED = 1 << 22
+#: Bytes of stored texts that a task inverts at most: else there are hardly more tasks than cores, and the last runs alone.
+SPLIT = 1 << 24
 
 
 def units(docs: DataFrame, granularity: str = "fulltext", sentence_rows: DataFrame | None = None) -> DataFrame:
@@ -54,25 +59,81 @@ def _letters(spark: SparkSession) -> bytes:
     return sc._folium_letters
 
 
-def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def _coders():
+    """Whole numbers as runs of 7 bits, lowest first, and back; all of an array in a few passes."""
+    import numpy as np
+
+    def coded(v):
+        """Bytes of unsigned numbers, and where each begins, with the end."""
+        most = int(v.max(initial=0))
+        v = v.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+        sizes = np.ones(len(v), np.uint8)
+        for k in range(1, 10):
+            if most >> 7 * k:
+                sizes += v >= 1 << 7 * k
+        at = np.zeros(len(v) + 1, np.int64)
+        np.cumsum(sizes, out=at[1:])
+        out, to = np.empty(at[-1], np.uint8), at[:-1]
+        out[to] = v.astype(np.uint8) & 127
+        more = np.flatnonzero(sizes > 1)
+        while len(more):
+            v, sizes, to = v[more] >> 7, sizes[more] - 1, to[more]
+            out[to] |= 128
+            to = to + 1
+            out[to] = v.astype(np.uint8) & 127
+            more = np.flatnonzero(sizes > 1)
+        return out, at
+
+    def decoded(b):
+        """Unsigned numbers of bytes, and the byte behind each."""
+        ends = np.flatnonzero(b < 128) + 1
+        begins = np.append(0, ends[:-1])[: len(ends)]
+        v, sizes, own = b[begins].astype(np.uint64) & np.uint64(127), ends - begins, np.arange(len(ends))
+        for k in range(1, int(sizes.max(initial=0))):
+            own = own[sizes[own] > k]
+            v[own] |= (b[begins[own] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+        return v, ends
+
+    # small numbers of either sign stay small; differences wrap around, so that every 64-bit id comes back
+    signed = lambda v: (v << 1 ^ v >> 63).view(np.uint64)
+    unsigned = lambda v: (v >> np.uint64(1)).view(np.int64) ^ -(v & np.uint64(1)).view(np.int64)
+    return coded, decoded, signed, unsigned
+
+
+def _whole(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str] | None = None, block: int = BLOCK, packed: bool = False) -> DataFrame:
     """``term, entries`` of ``rows(doc_id, sentence_id, text)``; an entry is ``doc_id, sentence_id, n_terms, tf, positions``.
 
+    ``packed`` gives ``term, doc_id, units, positions`` instead, as bytes that ``unpacked`` reads: nested values went through
+    the JVM one by one, which took most of the time of an index. In ``units`` are, for each of the list's entries, ``tf`` with
+    three bits for nulls, then ``doc_id`` less the one before, ``sentence_id`` and ``n_terms``; ``doc_id`` is the list's first.
+    Ids that are no whole numbers are all there, in an array.
+
     A task inverts its units in blocks, as they come: a block has a row for each of its terms, sorted by term, so that
     pages of a file cover few terms, and nothing is shuffled. The empty term comes first and lists every unit of the block.
     Texts cross to Python whole and are split there as ``found_words`` splits them, all bytes of a block at once: an array
     of words costs several times as much to hand over.
     """
     stop = list(DEFAULT_STOP_WORDS if stop_words is None else stop_words)
-    longest, int_list, packed = LONGEST, T.ArrayType(T.IntegerType()), _letters(rows.sparkSession)
+    longest, int_list, letter_bits = LONGEST, T.ArrayType(T.IntegerType()), _letters(rows.sparkSession)
     entry = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("sentence_id", T.IntegerType()), T.StructField("n_terms", T.IntegerType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", int_list)])
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("entries", T.ArrayType(entry))])
+    own, (coded, _, signed, _) = entry["doc_id"].dataType, _coders()
+    whole = _whole(own)
+    if packed:
+        lists = [T.StructField("doc_id", own if whole else T.ArrayType(own)), T.StructField("units", T.BinaryType()), T.StructField("positions", T.BinaryType())]
+    else:
+        lists = [T.StructField("entries", T.ArrayType(entry))]
+    schema = T.StructType([T.StructField("term", T.StringType()), *lists])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        letters = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
+        letters = np.unpackbits(np.frombuffer(zlib.decompress(letter_bits), np.uint8)).view(bool)
         ascii_letters = np.append(letters[:128], np.zeros(128, bool))
 
         def split(texts):
@@ -123,6 +184,37 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
             entries = pa.StructArray.from_arrays([doc, sentence, n_terms, pa.array(tf, pa.int32()), positions], ["doc_id", "sentence_id", "n_terms", "tf", "positions"])
             return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)], ["term", "entries"])
 
+        def bytes_of(values, bounds):
+            """An array of bytes with the numbers between bounds in each."""
+            data, begins = coded(values)
+            offsets = begins[bounds].astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+        def packed_lists(terms, bounds, doc, sentence, n_terms, tf, at, places):
+            bounds, places = np.asarray(bounds, np.int64), np.asarray(places, np.int64)
+            sizes = np.diff(bounds)
+            codes = np.zeros(4 * bounds[-1], np.uint64)
+            to = np.arange(bounds[-1]) + np.repeat(3 * bounds[:-1], sizes)  # a list's four columns stand one after the other
+            step = np.repeat(sizes, sizes)
+            head = np.asarray(tf).astype(np.uint64) << np.uint64(3)
+            for k, x in enumerate((doc, sentence, n_terms)):
+                if x.null_count:
+                    head |= x.is_null().to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(k)
+                if x.null_count < len(x) and (k or whole):
+                    v = x.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                    if not k:
+                        v = v - np.append(v[:1], v[:-1])
+                        v[bounds[:-1]] = 0
+                    codes[to + (k + 1) * step] = signed(v)
+            codes[to] = head
+            apart = places - np.append(places[:1], places[:-1])
+            first = at[:-1][np.diff(at) > 0]
+            apart[first] = places[first]
+            ids = doc.take(pa.array(bounds[:-1])) if whole else pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), doc)
+            return pa.RecordBatch.from_arrays([terms, ids, bytes_of(codes, 4 * bounds), bytes_of(apart.view(np.uint64), np.asarray(at)[bounds])], ["term", "doc_id", "units", "positions"])
+
+        form = packed_lists if packed else listed
+
         def inverted(held):
             doc, sentence, texts = [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
             found, sizes = split(texts.cast(pa.string()))
@@ -139,7 +231,7 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
             kept = term >= 0
             term, row, place = term[kept], row[kept], place[kept]
             n_terms = np.bincount(row, minlength=n).astype(np.int32)
-            yield listed(pa.array([""]), [0, n], doc, sentence, pa.array(n_terms, mask=texts.is_null().to_numpy(zero_copy_only=False)), np.zeros(n), np.zeros(n + 1), [])
+            yield form(pa.array([""]), [0, n], doc, sentence, pa.array(n_terms, mask=texts.is_null().to_numpy(zero_copy_only=False)), np.zeros(n), np.zeros(n + 1, np.int32), [])
             if len(term):
                 key = term.astype(np.int64) << 32 | np.arange(len(term))
                 key.sort()  # by term, then as they stand
@@ -148,7 +240,7 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
                 at = starts(term, row)
                 own = row[at[:-1]]
                 bounds = starts(term[at[:-1]])
-                yield listed(words.take(pa.array(order[term[at[:-1]][bounds[:-1]]])), bounds, doc.take(pa.array(own)), sentence.take(pa.array(own)), pa.array(n_terms[own]), np.diff(at), at, place)
+                yield form(words.take(pa.array(order[term[at[:-1]][bounds[:-1]]])), bounds, doc.take(pa.array(own)), sentence.take(pa.array(own)), pa.array(n_terms[own]), np.diff(at), at, place)
 
         held, size = [], 0
         for b in batches:
@@ -166,6 +258,67 @@ def posting_lists(rows: DataFrame, case_mode: str = "ci", stop_words: list[str]
     return rows.select("doc_id", "sentence_id", F.make_valid_utf8(text).alias("text")).mapInArrow(run, schema)
 
 
+def unpacked(lists: DataFrame) -> DataFrame:
+    """Entries of packed ``lists(*others, doc_id, units, positions)``, one a row: ``*others, doc_id, sentence_id, n_terms, tf, positions``."""
+    others = [f for f in lists.schema.fields if f.name not in ("doc_id", "units", "positions")]
+    stored, (_, decoded, _, unsigned) = lists.schema["doc_id"].dataType, _coders()
+    whole = not isinstance(stored, T.ArrayType)
+    doc_type = stored if whole else stored.elementType
+    ints = [T.StructField(n, T.IntegerType()) for n in ("sentence_id", "n_terms", "tf")]
+    schema = T.StructType([*others, T.StructField("doc_id", doc_type), *ints, T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    names, most = [f.name for f in others], UNPACKED
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def numbers(column):
+            """The numbers of all rows, and where each row's begin, with the end."""
+            column = column.cast(pa.binary())
+            bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = column.buffers()[2]
+            v, ends = decoded(np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8))
+            return v, np.searchsorted(ends, bounds - bounds[0], side="right")
+
+        def totals(v, begins, sizes):
+            """Running sums that start anew where something begins."""
+            sums = np.append(0, np.cumsum(v))
+            return sums[1:] - np.repeat(sums[begins], sizes)
+
+        def entries(b):
+            codes, bounds = numbers(b.column("units"))
+            sizes = np.diff(bounds) // 4
+            begins = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(3 * begins, sizes)
+            step = np.repeat(sizes, sizes)
+            head = codes[at]
+            tf = (head >> np.uint64(3)).astype(np.int32)
+            missing = [(head >> np.uint64(k) & np.uint64(1)).astype(bool) for k in range(3)]
+            doc, sentence, n_terms = (unsigned(codes[at + (k + 1) * step]) for k in range(3))
+            if whole:
+                first = b.column("doc_id")
+                ids = totals(doc, begins, sizes) + np.repeat(first.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), sizes)
+                docs = pa.array(ids, mask=missing[0]).cast(first.type)
+            else:
+                docs = b.column("doc_id").flatten()
+            ints = [pa.array(v.astype(np.int32), mask=m) for v, m in ((sentence, missing[1]), (n_terms, missing[2]))]
+            apart, _ = numbers(b.column("positions"))
+            to = np.append(0, np.cumsum(tf)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(to), pa.array(totals(apart.view(np.int64), to[:-1], tf).astype(np.int32)))
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            return pa.RecordBatch.from_arrays([*(b.column(n).take(row) for n in names), docs, *ints, pa.array(tf), positions], [*names, "doc_id", "sentence_id", "n_terms", "tf", "positions"])
+
+        for b in batches:
+            begin, size = 0, np.cumsum(sum(pc.binary_length(b.column(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("units", "positions")))
+            while begin < b.num_rows:
+                end = max(begin + 1, int(np.searchsorted(size, most + (size[begin - 1] if begin else 0), side="right")))
+                yield entries(b.slice(begin, end - begin))
+                begin = end
+
+    return lists.mapInArrow(run, schema)
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("granularity", "case_mode", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -284,10 +437,14 @@ class Collection:
         self._has(kind, mode)
         return (F.col("granularity") == GRANULARITIES[kind]) & (F.col("case_mode") == mode)
 
-    def postings(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
-        """``term, doc_id, sentence_id, n_terms, tf, positions`` of one index of those built; the others' folders aren't read."""
-        wanted = self._wanted(kind, case_sensitive)
-        return self._table("postings", lambda t: t.where(wanted & (F.col("term") != "")).select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*"))
+    def postings(self, kind: str = "document", case_sensitive: bool = False, terms: Column | None = None) -> DataFrame:
+        """``term, doc_id, sentence_id, n_terms, tf, positions`` of one index of those built; the others' folders aren't read.
+
+        ``terms`` is a condition on ``term`` that is met before lists are unpacked, and that reaches the files.
+        """
+        wanted = self._wanted(kind, case_sensitive) & (F.col("term") != "")
+        wanted = wanted if terms is None else wanted & terms
+        return self._table("postings", lambda t: unpacked(t.where(wanted).drop("granularity", "case_mode")))
 
     def lengths(self, kind: str = "document", case_sensitive: bool = False) -> DataFrame:
         wanted = self._wanted(kind, case_sensitive)
@@ -309,11 +466,22 @@ class Collection:
 
     # --- changing
 
-    def _store(self, rows: DataFrame, place: str) -> None:
-        rows.write.option("compression", "zstd").parquet(f"{self.path}/{place}")  # a third less than by default
+    def _store(self, rows: DataFrame, place: str, group: int = 1 << 27) -> None:
+        rows.write.option("compression", "zstd").option("parquet.block.size", group).parquet(f"{self.path}/{place}")  # a third less than by default
+
+    @contextlib.contextmanager
+    def _small_splits(self):
+        """Files are read in parts of ``SPLIT`` at most."""
+        key, conf = "spark.sql.files.maxPartitionBytes", self.spark.conf
+        before, most = conf.get(key), self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        conf.set(key, str(min(most, SPLIT)))
+        try:
+            yield
+        finally:
+            conf.set(key, before)
 
     def _write(self, docs: DataFrame, segment: str, sentence_rows: DataFrame | None = None) -> None:
-        self._store(docs, f"docs/segment={segment}")
+        self._store(docs, f"docs/segment={segment}", 2 * SPLIT)
         for kind in self.kinds:
             self._write_kind(kind, segment, sentence_rows)
 
@@ -328,9 +496,10 @@ class Collection:
         granularity = GRANULARITIES[kind]
         for mode in self.modes:
             own = f"segment={segment}/granularity={granularity}/case_mode={mode}"
-            self._store(posting_lists(units(read(f"docs/segment={segment}"), granularity, rows), mode, self.stop_words), f"postings/{own}")
-            every = read(f"postings/{own}").where("term = ''").select(F.explode("entries").alias("e"))
-            self._store(every.select("e.doc_id", "e.sentence_id", "e.n_terms"), f"lengths/{own}")
+            with self._small_splits():
+                self._store(posting_lists(units(read(f"docs/segment={segment}"), granularity, rows), mode, self.stop_words, packed=True), f"postings/{own}")
+            every = unpacked(read(f"postings/{own}").where("term = ''"))
+            self._store(every.select("doc_id", "sentence_id", "n_terms"), f"lengths/{own}")
 
     def extend(self, kind: str) -> None:
         """Brings what a further kind of search needs to the segments in use. No writer may be at work."""

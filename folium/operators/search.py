@@ -191,7 +191,7 @@ def search(q: Query, docs: DataFrame | None = None, lexicon: DataFrame | None =
     if collection is not None:
         lengths = collection.lengths(q.kind, q.case_sensitive)
         every = holds_for_none(tree)
-        counted = counted_postings(collection.postings(q.kind, q.case_sensitive), lengths, keys, names, every)
+        counted = counted_postings(collection.postings(q.kind, q.case_sensitive, posting_filter(list(names)) if names else F.lit(False)), lengths, keys, names, every)
         n_units = lengths.agg(F.count("*").alias("_n"))
     else:
         counted = counted_texts(units(), names, q.case_sensitive, stop_words)

@@ -291,6 +291,55 @@ def test_texts_and_not_arrays_of_words_are_handed_over_when_indexing(spark):
     assert "MapInArrow" in plan and "regexp_extract_all" not in plan
 
 
+def test_packed_lists_are_the_lists(spark, monkeypatch):
+    """Ids of all kinds and sizes, none at all, units without a text, long lists and places far apart."""
+    far = " the" * 20000 + " x fish"
+    texts = ["The fish of a Fish, the end.", "", None, "fish" + far, "the of", "x " * 300, "fish fish"]
+    ids = {"bigint": [5, -(2**63), 2**63 - 1, None, 0, -1, 7], "tinyint": [5, -128, 127, None, 0, -1, 7], "string": ["b", "a", "", None, "\u00e9", "zz", "b"]}
+    for kind, own in ids.items():
+        rows = spark.createDataFrame([(str(i) if i is not None else None, k - 3 if k % 2 else None, x) for k, (i, x) in enumerate(zip(own, texts, strict=True))], "doc_id string, sentence_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).coalesce(1)
+        for block in (1, index.BLOCK):
+            for most in (1, 1 << 22):
+                monkeypatch.setattr(index, "UNPACKED", most)
+                e = index.posting_lists(rows, block=block).select("term", F.explode("entries").alias("e")).select("term", "e.*")
+                got = index.unpacked(index.posting_lists(rows, block=block, packed=True))
+                assert got.schema == e.select(got.columns).schema and set(got.columns) == set(e.columns)
+                assert sorted(map(repr, got.select(e.columns).collect())) == sorted(map(repr, e.collect()))
+    assert index.unpacked(index.posting_lists(rows.limit(0), packed=True)).count() == 0
+
+
+def test_numbers_come_back_from_bytes():
+    import numpy as np
+
+    coded, decoded, signed, unsigned = index._coders()
+    edges = np.array([s * (2**k) + d for k in range(62) for s in (1, -1) for d in (-1, 0, 1)] + [2**63 - 1, -(2**63)], np.int64)
+    for v in (edges, edges[:0], np.zeros(3, np.int64), np.arange(-200, 200)):
+        data, at = coded(signed(v))
+        back, ends = decoded(data)
+        assert (unsigned(back) == v).all() and (ends == at[1:]).all()
+
+
+def test_stored_lists_have_no_nested_values(spark, papers, tmp_path):
+    """A value of a nested column cost as much as a whole list does in bytes."""
+    c = index.Collection(spark, f"file://{tmp_path}/p", modes=["ci"])
+    c.build(papers)
+    stored = dict(spark.read.parquet(f"{c.path}/postings").dtypes)
+    assert stored.pop("term") == "string" and stored.pop("doc_id") == "bigint"
+    assert {stored[n] for n in ("units", "positions")} == {"binary"} and not any(x.startswith("array") for x in stored.values())
+
+
+def test_an_index_is_built_by_more_tasks_than_cores(spark, tmp_path, monkeypatch):
+    """Files were packed to about one task a core, and the one left over ran alone."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(index, "SPLIT", 1 << 16)
+    docs = spark.range(4000).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> sha2(concat(id, ':', k), 256))) text").coalesce(2)
+    c = index.Collection(spark, f"file://{tmp_path}/s", modes=["ci"], kinds=["document"])
+    c.build(docs)
+    assert len(list((tmp_path / "s" / "postings").rglob("part-*.parquet"))) > 16 and spark.conf.get(key) == before
+    assert c.lengths().agg(F.count("*"), F.sum("n_terms")).first()[:] == (4000, 160000)
+
+
 def test_sentence_breaks_are_those_of_the_pattern_that_looks_back_everywhere(spark):
     plain = "(?:(?<![(>\\s][A-Z])(?<![(>\\s](?:Dr|[Ee]x|[Nn]o|[Vv]s|al|ca))(?<![(>\\s](?:[Ff]ig|[Vv]ol|i\\.e|e\\.g))\\.|[!?])[\\n\\t <]"
     texts = ["(A. b", "A. b", " Dr. x! Ex. y? z. <", " i.e. a. b e.g. c al. d (Fig. 3. Vol.\n x", ">ca. x.. y .! z", " A. b \x0bA. c", "", ".", ". ", "A!. b A?. c", " No! vs? \U0001d400. A. \U0001d400. x", "x. A. B. y.\tz"]
