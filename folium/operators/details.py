@@ -41,9 +41,9 @@ def details(hits: DataFrame, docs: DataFrame, sentence_rows: DataFrame | None =
         own = sentence_rows.join(hits.select(F.col("identifier").alias("doc_id")), "doc_id", "left_semi")
         out = out.join(own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sentence_id", *fields))).alias("all_sentences")), "doc_id", "left")
         texts.append("all_sentences")
-    if remove_tags or remove_newlines:
-        out = cleaned_details(out, texts, remove_tags, remove_newlines)
-    return out.orderBy(*([F.desc_nulls_last("year")] if by_year else []), F.desc("score"), "doc_id")
+    out = out.orderBy(*([F.desc_nulls_last("year")] if by_year else []), F.desc("score"), "doc_id")
+    # above the sort: below it, texts are cleaned for the sample of rows that it takes, and then again
+    return cleaned_details(out, texts, remove_tags, remove_newlines) if remove_tags or remove_newlines else out
 
 
 def one(docs: DataFrame, doc_id, include: list[str] | None = None) -> DataFrame:

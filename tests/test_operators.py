@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.functions import text as fx
-from folium.operators import annotate, corpora, index, layout, lexicon, lsa, search
+from folium.operators import annotate, corpora, details, index, layout, lexicon, lsa, search
 from folium.plans.query import Query, QueryError, parse
 from folium.sources import bib, files
 from folium.streaming import incremental
@@ -340,6 +340,17 @@ def test_an_index_is_built_by_more_tasks_than_cores(spark, tmp_path, monkeypatch
     assert c.lengths().agg(F.count("*"), F.sum("n_terms")).first()[:] == (4000, 160000)
 
 
+def test_details_are_cleaned_once_and_in_order(spark, papers):
+    """Below the sort, texts were cleaned for its sample of rows and then again."""
+    hits = search.search(Query(keyword="dna OR binding", corpora=["C. elegans", "S. cerevisiae"]), papers)
+    docs = papers.withColumn("text", F.concat(F.lit("<b> "), "text", F.lit("\n </b>")))
+    got = details.details(hits, docs, include=["text"], remove_tags=True, remove_newlines=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Sort [")
+    scores = [(-r["score"], r["doc_id"]) for r in got.collect()]
+    assert scores == sorted(scores) and {r["doc_id"]: r["text"] for r in got.collect()} == {r["doc_id"]: r["text"] for r in papers.collect()}
+
+
 def test_sentence_breaks_are_those_of_the_pattern_that_looks_back_everywhere(spark):
     plain = "(?:(?<![(>\\s][A-Z])(?<![(>\\s](?:Dr|[Ee]x|[Nn]o|[Vv]s|al|ca))(?<![(>\\s](?:[Ff]ig|[Vv]ol|i\\.e|e\\.g))\\.|[!?])[\\n\\t <]"
     texts = ["(A. b", "A. b", " Dr. x! Ex. y? z. <", " i.e. a. b e.g. c al. d (Fig. 3. Vol.\n x", ">ca. x.. y .! z", " A. b \x0bA. c", "", ".", ". ", "A!. b A?. c", " No! vs? \U0001d400. A. \U0001d400. x", "x. A. B. y.\tz"]
