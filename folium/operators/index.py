@@ -17,7 +17,7 @@ from folium.session import shared_root
 GRANULARITIES = {"document": "fulltext", "sentence": "sentence"}
 CASE_MODES = ["ci", "cs"]
 #: Words and units that become lists together: about 150 MB in a worker.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of packed lists that are unpacked together.
 UNPACKED = 1 << 22
 #: Bytes of stored texts that a task inverts at most: else there are hardly more tasks than cores, and the last runs alone.
